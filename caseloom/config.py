@@ -41,6 +41,12 @@ FEATURES = NUMERIC_FEATURES + CATEGORICAL_FEATURES + FLAG_FEATURES
 # What a score request does not carry.
 REQUEST_DEFAULTS = {"drug_seq": 1, "dechal": "unknown", "rechal": "unknown", "occr_country": "US"}
 
+# Texts of raw files that mean "missing". In the country column "NA"
+# is a country and stays.
+NULL_TEXTS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+COUNTRY_COLUMN = "occr_country"
+
 # Vocabularies of the synthetic case generator.
 DEMO_DRUGS = ["Aspirin", "Metformin", "Lisinopril", "Atorvastatin", "Amoxicillin",
               "Ibuprofen", "Omeprazole", "Amlodipine", "Metoprolol", "Warfarin"]

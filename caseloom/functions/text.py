@@ -40,13 +40,13 @@ def combined_text(drugname: Column, route: Column, prod_ai: Column, reactions: C
 
 def narrative(drugname: Column, route: Column, prod_ai: Column, reactions: Column) -> Column:
     """Cleaned narrative with a stand-in for cases that have none."""
-    cleaned = clean_text(combined_text(drugname, route, prod_ai, reactions))
-    return F.when(cleaned == "", F.lit(EMPTY_NARRATIVE)).otherwise(cleaned)
+    # A replacement names the cleaned text once; a condition would compute it twice.
+    return F.regexp_replace(clean_text(combined_text(drugname, route, prod_ai, reactions)), "^$", EMPTY_NARRATIVE)
 
 
 def words(text: Column) -> Column:
     """Words of a cleaned text."""
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " +"))
+    return F.array_remove(F.split(text, " +"), "")
 
 
 def tokens(text: Column, limit: int = 256) -> Column:

@@ -19,26 +19,22 @@ STRIDE = 32
 CUTS = STRIDE * STRIDE - 1
 
 
-def _per_group(table: DataFrame, by: str | None, value: str) -> Column:
-    """The ``value`` of a one-row-per-group table, looked up by group as a scalar subquery.
+def _plan_of(grouped: DataFrame, order: str, totals: Sequence[str], by: str | None) -> Column:
+    """Struct of the ``cuts`` and the whole sum of each total, of the row's own group.
 
-    ``by`` is a column with few values (a class, a fold, a feature name).
+    A scalar subquery over one row per group; ``by`` is a column with few values
+    (a class, a fold, a feature name). It reads the same columns as the main
+    branch, so the shuffle that built ``grouped`` is run once and reused.
     """
+    shares = F.array(*[F.lit((i + 1) / (CUTS + 1)) for i in range(CUTS)])
+    found = [F.percentile_approx(order, shares, F.lit(10000)).alias("cuts"), *[F.sum(t).alias(t) for t in totals]]
+    plan = F.struct("cuts", *totals)
     if by is None:
-        return table.select(value).scalar()
-    pairs = table.where(F.col(by).isNotNull()).select(F.struct(by, value).alias("pair"))
+        return grouped.agg(*found).select(plan.alias("plan")).scalar()
+    pairs = grouped.where(F.col(by).isNotNull()).groupBy(by).agg(*found).select(F.struct(by, plan.alias("plan")).alias("pair"))
     return F.element_at(pairs.agg(F.map_from_entries(F.collect_list("pair"))).scalar(), F.col(by))
 
 
-def _cut_points(grouped: DataFrame, order: str, totals: Sequence[str], by: str | None) -> DataFrame:
-    shares = F.array(*[F.lit((i + 1) / (CUTS + 1)) for i in range(CUTS)])
-    # The condition holds for every row; naming the totals keeps this branch equal
-    # to the others below its shuffle, so that shuffle is run once and reused.
-    needed = grouped.where(" and ".join(f"{t} >= 0" for t in totals))
-    return (needed.groupBy(*([by] if by else []))
-            .agg(F.percentile_approx(order, shares, F.lit(10000)).alias("cuts")))
-
-
 def _bucket(value: Column, cuts: Column) -> Column:
     """How many cut points lie below ``value``, by coarse and fine search."""
     coarse = F.transform(F.sequence(F.lit(STRIDE), F.lit(CUTS), F.lit(STRIDE)), lambda i: F.element_at(cuts, i))
@@ -48,15 +44,15 @@ def _bucket(value: Column, cuts: Column) -> Column:
 
 
 def running_totals(grouped: DataFrame, order: str, totals: Sequence[str], by: str | None = None) -> DataFrame:
-    """Add ``<total>_before``: the sum of a (non-negative) total over all rows earlier in ``order``.
+    """Add ``<total>_before``, the sum of a total over all rows earlier in ``order``, and ``<total>_all``.
 
     ``grouped`` has one row per (by, order) value. Buckets are cut at quantiles
     of those rows, so they stay even however the values cluster.
     """
     group = [by] if by else []
-    cuts = _cut_points(grouped, order, totals, by)
-    rows = (grouped.withColumn("_cuts", _per_group(cuts, by, "cuts"))
-            .withColumn("_bucket", _bucket(F.col(order), F.col("_cuts"))).drop("_cuts"))
+    rows = (grouped.withColumn("_plan", _plan_of(grouped, order, totals, by))
+            .withColumn("_bucket", _bucket(F.col(order), F.col("_plan.cuts")))
+            .select(*grouped.columns, "_bucket", *[F.col(f"_plan.{t}").alias(f"{t}_all") for t in totals]))
     # At most CUTS + 1 rows per group reach this window.
     earlier = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (rows.groupBy(*group, "_bucket").agg(*[F.sum(t).alias(f"_{t}") for t in totals])
@@ -67,32 +63,31 @@ def running_totals(grouped: DataFrame, order: str, totals: Sequence[str], by: st
     # test on the bucket, and with it the search, below the aggregation.
     return (rows.select("*", *[F.coalesce(F.sum(t).over(inside), F.lit(0)).alias(f"_in_{t}") for t in totals])
             .join(offsets, [*group, "_bucket"], "left")
-            .select(*grouped.columns, *[(F.col(f"_in_{t}") + F.col(f"_{t}")).alias(f"{t}_before") for t in totals]))
+            .select(*grouped.columns, *[(F.col(f"_in_{t}") + F.col(f"_{t}")).alias(f"{t}_before") for t in totals],
+                    *[f"{t}_all" for t in totals]))
 
 
 def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], by: str | None = None) -> DataFrame:
     """Interpolated quantiles of the non-null values, as array ``quantiles``, with their count ``n``."""
     group = [by] if by else []
     grouped = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    # Naming the value keeps the shuffle below equal to the one of the main branch.
-    sizes = grouped.where(F.col(value).isNotNull()).groupBy(*group).agg(F.sum("_n").alias("n"))
-    ranked = running_totals(grouped, value, ["_n"], by).withColumn("n", _per_group(sizes, by, "n"))
+    ranked = running_totals(grouped, value, ["_n"], by)
+    places = [F.lit(float(share)) * (F.col("_n_all") - 1) for share in shares]
 
-    def at(position: Column) -> Column:
-        covers = (F.col("_n_before") <= position) & (position < F.col("_n_before") + F.col("_n"))
+    def at(place: Column) -> Column:
+        covers = (F.col("_n_before") <= place) & (place < F.col("_n_before") + F.col("_n"))
         return F.max(F.when(covers, F.col(value).cast("double")))
 
     picks = []
-    for i, share in enumerate(shares):
-        place = F.lit(float(share)) * (F.col("n") - 1)
+    for i, place in enumerate(places):
         picks += [at(F.floor(place)).alias(f"_low{i}"), at(F.ceil(place)).alias(f"_high{i}")]
-    found = ranked.groupBy(*group, "n").agg(*picks)
 
-    def blend(i: int, share: float) -> Column:
-        place = F.lit(float(share)) * (F.col("n") - 1)
+    def blend(i: int, place: Column) -> Column:
         return F.col(f"_low{i}") + (F.col(f"_high{i}") - F.col(f"_low{i}")) * (place - F.floor(place))
 
-    return found.select(*group, "n", F.array(*[blend(i, s) for i, s in enumerate(shares)]).alias("quantiles"))
+    return (ranked.groupBy(*group, "_n_all").agg(*picks)
+            .select(*group, F.col("_n_all").alias("n"),
+                    F.array(*[blend(i, place) for i, place in enumerate(places)]).alias("quantiles")))
 
 
 # Bits of the 31-bit hash that form a bucket: 4096 buckets, even by construction.
