@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from caseloom.config import QUARTERS, SERIOUS_OUTCOMES, VALUE_SEPARATOR
 from caseloom.functions.numbers import to_number
+from caseloom.operators.ranking import sample_exact
 
 CASE = ["quarter", "primaryid"]
 DRUG_TEXT = ["drugname", "route", "prod_ai"]
@@ -107,15 +108,18 @@ def keep_first(rows: DataFrame, quarters: Sequence[str] = QUARTERS, key: str = "
     return rows.withColumn("_rank", F.row_number().over(window)).where("_rank = 1").drop("_rank")
 
 
-def assemble(tables: CaseTables, quarters: Sequence[str] = QUARTERS, one_per_case: bool = True) -> DataFrame:
+def assemble(tables: CaseTables, quarters: Sequence[str] = QUARTERS, one_per_case: bool = True,
+             sample_size: int | None = None) -> DataFrame:
     """Demographics with drugs, reactions and the serious flag, one row per case.
 
     Roll-ups have one row per quarter and case, so dropping repeated
     demographics before the joins gives what dropping them after would, and the
-    joins see no hot key.
+    joins see no hot key. For the same reason a sample is taken before them.
     """
     cases = keep_first(tables.demo, quarters) if one_per_case else tables.demo
     cases = cases.drop("row_order")
+    if sample_size:
+        cases = sample_exact(cases, sample_size)
     if usable(tables.drug):
         text = [c for c in DRUG_TEXT if c in tables.drug.columns]
         cases = (cases.join(joined_values(tables.drug, text), CASE, "left")

@@ -77,16 +77,38 @@ def category_value(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(UNKNOWN))
 
 
+def category_values(df: DataFrame) -> DataFrame:
+    """Distinct (feature, value) of the categorical features; hot values fold before the shuffle."""
+    present = [c for c in CATEGORICAL_FEATURES if c in df.columns]
+    if not present:
+        return df.select(F.lit("").alias("feature"), F.lit("").alias("value")).limit(0)
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), category_value(c).alias("value")) for c in present])
+    return df.select(F.inline(pairs)).distinct()
+
+
 def category_map(df: DataFrame) -> DataFrame:
-    """Distinct values of each categorical feature, numbered from 0 in sorted order.
+    """The values of each categorical feature numbered from 0 in sorted order.
 
-    Only distinct values meet in the window.
+    Only distinct values meet in the window; ``fit_features`` takes another way
+    when there are very many.
     """
-    present = [c for c in CATEGORICAL_FEATURES if c in df.columns]
-    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), category_value(c).alias("value")) for c in present])
-    distinct = df.select(F.inline(pairs)).distinct()
     code = F.row_number().over(Window.partitionBy("feature").orderBy("value")) - 1
-    return distinct.select("feature", "value", code.cast("int").alias("code"))
+    return category_values(df).select("feature", "value", code.cast("int").alias("code"))
+
+
+def numbered_by_range(values: DataFrame) -> DataFrame:
+    """As the numbering of ``category_map``, in range partitions of a written table.
+
+    No task sees more than one range, however many values a feature has.
+    """
+    ranged = materialize(values.repartitionByRange("feature", "value")
+                         .withColumn("_range", F.spark_partition_id()), "category-values")
+    earlier = Window.partitionBy("feature").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (ranged.groupBy("feature", "_range").agg(F.count("*").alias("_size"))
+               .select("feature", "_range", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset")))
+    place = F.row_number().over(Window.partitionBy("feature", "_range").orderBy("value"))
+    return (ranged.withColumn("_place", place).join(offsets, ["feature", "_range"], "left")
+            .select("feature", "value", (F.col("_offset") + F.col("_place") - 1).cast("int").alias("code")))
 
 
 @dataclass(frozen=True)
@@ -153,30 +175,51 @@ class FittedFeatures:
         names.coalesce(1).write.mode("overwrite").parquet(f"{path}/feature_names")
 
 
-def _fitted(numeric: DataFrame, categories: DataFrame, names: Sequence[str] = FEATURES,
-            stored: bool = False) -> FittedFeatures:
-    spark = categories.sparkSession
-    stats = {r["feature"]: (r["median"], r["mean"], r["std"]) for r in numeric.collect()}
-    # Never more than the bound plus one row comes to the driver.
-    rows = categories.limit(BROADCAST_CATEGORIES + 1).collect()
-    small = len(rows) <= BROADCAST_CATEGORIES
-    if small:
-        categories = spark.createDataFrame(rows, CATEGORY_SCHEMA)
-    elif not stored:
-        categories = materialize(categories, "category-map")
-    fallback = {r["feature"]: r["code"] for r in
-                categories.groupBy("feature")
-                .agg(F.coalesce(F.max(F.when(F.col("value") == UNKNOWN, F.col("code"))), F.lit(0)).alias("code"))
-                .collect()}
-    return FittedFeatures(stats, categories, fallback, small, tuple(names))
+def _known_categories(spark: SparkSession, rows: list) -> tuple[DataFrame, dict[str, int]]:
+    fallback = {feature: 0 for feature, _, _ in rows} | {f: code for f, value, code in rows if value == UNKNOWN}
+    return spark.createDataFrame(rows, CATEGORY_SCHEMA), fallback
+
+
+def _large_fallback(categories: DataFrame) -> dict[str, int]:
+    unknown = F.max(F.when(F.col("value") == UNKNOWN, F.col("code")))
+    return {r["feature"]: r["code"] for r in
+            categories.groupBy("feature").agg(F.coalesce(unknown, F.lit(0)).alias("code")).collect()}
 
 
-def fit_features(df: DataFrame) -> FittedFeatures:
-    """Learn imputation, scaling and category codes from ``df`` (its training rows)."""
-    return _fitted(numeric_stats(df), category_map(df))
+def _stats(numeric: DataFrame) -> dict[str, tuple[float, float, float]]:
+    return {r["feature"]: (r["median"], r["mean"], r["std"]) for r in numeric.collect()}
 
 
-def load_features(spark: SparkSession, path: str) -> FittedFeatures:
+def fit_features(df: DataFrame, broadcast_limit: int = BROADCAST_CATEGORIES) -> FittedFeatures:
+    """Learn imputation, scaling and category codes from ``df`` (its training rows).
+
+    At most ``broadcast_limit`` + 1 categories come to the driver; where there
+    are more, the codes are made and kept as a table.
+    """
+    values = category_values(df)
+    found = [(r["feature"], r["value"]) for r in values.limit(broadcast_limit + 1).collect()]
+    small = len(found) <= broadcast_limit
+    if small:
+        counters = dict.fromkeys(CATEGORICAL_FEATURES, -1)
+        rows = []
+        for feature, value in sorted(found):
+            counters[feature] += 1
+            rows.append((feature, value, counters[feature]))
+        categories, fallback = _known_categories(df.sparkSession, rows)
+    else:
+        categories = materialize(numbered_by_range(values), "category-map")
+        fallback = _large_fallback(categories)
+    return FittedFeatures(_stats(numeric_stats(df)), categories, fallback, small)
+
+
+def load_features(spark: SparkSession, path: str, broadcast_limit: int = BROADCAST_CATEGORIES) -> FittedFeatures:
     names = [r["name"] for r in spark.read.parquet(f"{path}/feature_names").orderBy("position").collect()]
-    return _fitted(spark.read.schema(NUMERIC_SCHEMA).parquet(f"{path}/numeric_stats"),
-                   spark.read.schema(CATEGORY_SCHEMA).parquet(f"{path}/category_map"), names, stored=True)
+    categories = spark.read.schema(CATEGORY_SCHEMA).parquet(f"{path}/category_map")
+    rows = [tuple(r) for r in categories.limit(broadcast_limit + 1).collect()]
+    small = len(rows) <= broadcast_limit
+    if small:
+        categories, fallback = _known_categories(spark, rows)
+    else:
+        fallback = _large_fallback(categories)
+    numeric = spark.read.schema(NUMERIC_SCHEMA).parquet(f"{path}/numeric_stats")
+    return FittedFeatures(_stats(numeric), categories, fallback, small, tuple(names))

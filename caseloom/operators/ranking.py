@@ -115,8 +115,8 @@ def number_rows(df: DataFrame, key: str, salt: int = SPLIT_SALT, by: str | None
 def sample_exact(df: DataFrame, n: int, key: str = "primaryid", salt: int = SPLIT_SALT) -> DataFrame:
     """Exactly ``min(n, rows)`` rows, the same ones on every run and layout.
 
-    Bucket sizes tell which bucket holds the n-th row; only rows up to that
-    bucket are shuffled and only that bucket is ranked. ``key`` must be unique.
+    Bucket sizes tell which bucket holds the n-th row, so only about n rows are
+    shuffled, and ranked within their buckets. ``key`` must be unique.
     """
     rows = df.withColumn("_hash", portable_hash(F.col(key), salt))
     rows = rows.withColumn("_bucket", F.shiftright("_hash", BUCKET_SHIFT))
@@ -126,8 +126,7 @@ def sample_exact(df: DataFrame, n: int, key: str = "primaryid", salt: int = SPLI
     cut = filled.where(F.col("_upto") - F.col("_size") < n).agg(
         F.struct(F.max("_bucket").alias("bucket"),
                  (F.lit(n) - F.max(F.col("_upto") - F.col("_size"))).alias("left"))).scalar()
-    kept = rows.where(F.col("_bucket") < cut["bucket"])
-    edge = (rows.where(F.col("_bucket") == cut["bucket"])
-            .withColumn("_place", F.row_number().over(Window.partitionBy("_bucket").orderBy("_hash", key)))
-            .where(F.col("_place") <= cut["left"]).drop("_place"))
-    return kept.unionByName(edge).drop("_hash", "_bucket")
+    inside = Window.partitionBy("_bucket").orderBy("_hash", key)
+    return (rows.where(F.col("_bucket") <= cut["bucket"]).withColumn("_place", F.row_number().over(inside))
+            .where((F.col("_bucket") < cut["bucket"]) | (F.col("_place") <= cut["left"]))
+            .drop("_hash", "_bucket", "_place"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from caseloom.config import CATEGORICAL_FEATURES, NUMERIC_FEATURES, FusionSettings, TreeSettings
 from caseloom.functions.hashing import FOLD_SALT, NOISE_SALT, SPLIT_SALT, portable_hash, uniform
 from caseloom.functions.numbers import at_least, to_number
-from caseloom.functions.report import risk_label
+from caseloom.functions.report import report_text, risk_label
 from caseloom.functions.text import clean_text, tokens, words
 from caseloom.operators import attribution, boosting, cases, features, fusion, metrics, ranking, splits, statistics, tokeninfluence
 from caseloom.plans.training import ReportModels, fusion_inputs, train
@@ -411,6 +411,16 @@ def request_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_request_defaults(_requests(spark, sf_dir))
 
 
+@query
+def report_wording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report text of each case, its scaled measurements standing in for contributions."""
+    rows = materialize(_scored(spark, sf_dir), "scored")
+    values = features.fit_features(rows).scaled(rows)
+    scaled = rows.select("primaryid", "score", *[value.alias(name) for name, value in values.items()])
+    factors = scaled.withColumn("factors", attribution.top_features(NUMERIC_FEATURES, 3))
+    return factors.select("primaryid", report_text(F.col("score"), F.col("factors")).alias("report"))
+
+
 # Models: no SQL answers these
 
 def _training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
