@@ -2,29 +2,49 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from caseloom.config import ABBREVIATIONS, EMPTY_NARRATIVE, RISK_REACTIONS
 
-# Letters, digits and underscore in any script; every kind of space.
-WORD = r"\p{L}\p{N}_"
-SPACE = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# Letters, digits and underscore of any script; the usual ones come
+# first because they decide soonest.
+WORD = r"a-zA-Z0-9_\p{L}\p{N}"
+
+# Letters that equal another one when case is ignored.
+CASE_VARIANTS = {"I": "Iiİı", "S": "Ssſ"}
+
 
+def _letters(letter: str) -> str:
+    return f"[{CASE_VARIANTS.get(letter, letter + letter.lower())}]"
 
-def _whole_word(term: str) -> str:
-    return rf"(?<![{WORD}])(?iu:{term})(?![{WORD}])"
+
+def _whole_word(terms: Sequence[str]) -> str:
+    """Any of the terms in any case, as a whole word.
+
+    The look-ahead for a first letter is cheap and fails almost everywhere, so
+    the costly test for a word boundary is rarely made.
+    """
+    starts = "|".join(sorted({_letters(term[0]) for term in terms}))
+    bodies = "|".join("".join(_letters(c) for c in term) for term in terms)
+    return rf"(?={starts})(?<![{WORD}])(?:{bodies})(?![{WORD}])"
 
 
 def clean_text(text: Column) -> Column:
-    """Expand abbreviations, drop other characters, collapse spaces, lower-case; null gives ''."""
-    expanded = text
+    """Expand abbreviations, drop other characters, collapse spaces, lower-case; null gives ''.
+
+    Characters to drop are no word characters, so turning them to spaces first
+    moves no word boundary, and one pass does it together with the spaces.
+    """
+    kept = F.regexp_replace(text, rf"[^{WORD}\-.,()]+", " ")
+    expanded = kept
     for short, meaning in ABBREVIATIONS.items():
-        expanded = F.regexp_replace(expanded, _whole_word(short), meaning)
+        expanded = F.regexp_replace(expanded, _whole_word([short]), meaning)
     # Most texts hold no abbreviation: one scan then saves twelve.
-    expanded = F.when(text.rlike(_whole_word("|".join(ABBREVIATIONS))), expanded).otherwise(text)
-    kept = F.regexp_replace(expanded, rf"[^{WORD}{SPACE}\-.,()]", " ")
-    return F.coalesce(F.lower(F.trim(F.regexp_replace(kept, rf"[{SPACE}]+", " "))), F.lit(""))
+    expanded = F.when(kept.rlike(_whole_word(list(ABBREVIATIONS))), expanded).otherwise(kept)
+    return F.coalesce(F.lower(F.trim(expanded)), F.lit(""))
 
 
 def combined_text(drugname: Column, route: Column, prod_ai: Column, reactions: Column) -> Column:

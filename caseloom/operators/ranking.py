@@ -67,11 +67,20 @@ def running_totals(grouped: DataFrame, order: str, totals: Sequence[str], by: st
                     *[f"{t}_all" for t in totals]))
 
 
+def frequency_table(df: DataFrame, value: str, by: str | None = None) -> DataFrame:
+    """Rows ``_n`` per distinct non-null value; repeats fold before the shuffle."""
+    return df.where(F.col(value).isNotNull()).groupBy(*([by] if by else []), value).agg(F.count("*").alias("_n"))
+
+
 def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], by: str | None = None) -> DataFrame:
     """Interpolated quantiles of the non-null values, as array ``quantiles``, with their count ``n``."""
+    return quantiles_of(frequency_table(df, value, by), value, shares, by)
+
+
+def quantiles_of(frequencies: DataFrame, value: str, shares: Sequence[float], by: str | None = None) -> DataFrame:
+    """As ``exact_quantiles``, from a ``frequency_table``."""
     group = [by] if by else []
-    grouped = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("_n"))
-    ranked = running_totals(grouped, value, ["_n"], by)
+    ranked = running_totals(frequencies, value, ["_n"], by)
     places = [F.lit(float(share)) * (F.col("_n_all") - 1) for share in shares]
 
     def at(place: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from caseloom.functions.hashing import uniform
 from caseloom.functions.numbers import to_number
 from caseloom.functions.text import risky_reaction
-from caseloom.operators.ranking import exact_quantiles
+from caseloom.operators.ranking import frequency_table, quantiles_of
 
 # Age bands, open below and closed above.
 AGE_BANDS = [(0, 18, "<18"), (18, 40, "18-40"), (40, 65, "40-65"), (65, 100, "65+")]
@@ -117,38 +117,40 @@ def histogram(df: DataFrame, value: str, by: str = "serious", bins: int = BINS)
                     F.coalesce("n", F.lit(0)).alias("n")))
 
 
-def _fences(df: DataFrame, value: str, by: str) -> tuple[DataFrame, DataFrame, Column]:
-    rows = (df.where(F.col(by).isNotNull()).select(by, to_number(df, value).alias("x"))
-            .where(F.col("x").isNotNull()))
-    quartiles = exact_quantiles(rows, "x", [0.25, 0.5, 0.75], by)
+def _boxes(df: DataFrame, value: str, by: str) -> tuple[DataFrame, DataFrame, Column]:
+    """Frequencies of the values, one box per class, and the test for lying within its fences.
+
+    All of it starts from the frequencies, so the table itself is read once.
+    """
+    rows = df.where(F.col(by).isNotNull()).select(by, to_number(df, value).alias("x"))
+    frequencies = frequency_table(rows, "x", by)
     q1, q3 = F.col("quantiles")[0], F.col("quantiles")[2]
     spread = (q3 - q1) * 1.5
-    box = quartiles.select(by, "n", q1.alias("q1"), F.col("quantiles")[1].alias("median"), q3.alias("q3"),
-                           (q1 - spread).alias("fence_low"), (q3 + spread).alias("fence_high"))
-    lookup = F.map_from_entries(F.collect_list(F.struct(by, F.struct("fence_low", "fence_high"))))
-    return rows, box, box.agg(lookup).scalar()
+    boxes = quantiles_of(frequencies, "x", [0.25, 0.5, 0.75], by).select(
+        by, "n", q1.alias("q1"), F.col("quantiles")[1].alias("median"), q3.alias("q3"),
+        (q1 - spread).alias("low"), (q3 + spread).alias("high"))
+    lookup = F.map_from_entries(F.collect_list(F.struct(by, F.struct("low", "high"))))
+    fenced = frequencies.withColumn("_fence", F.element_at(boxes.agg(lookup).scalar(), F.col(by)))
+    return fenced, boxes, (F.col("x") >= F.col("_fence.low")) & (F.col("x") <= F.col("_fence.high"))
 
 
 def boxplot(df: DataFrame, value: str = "dose_amt", by: str = "serious") -> DataFrame:
     """Quartiles, whiskers at the last values within 1.5 interquartile ranges, outlier count."""
-    rows, box, lookup = _fences(df, value, by)
-    rows = rows.withColumn("_fence", F.element_at(lookup, F.col(by)))
-    inside = (F.col("x") >= F.col("_fence.fence_low")) & (F.col("x") <= F.col("_fence.fence_high"))
-    ends = rows.groupBy(by).agg(F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
-                                F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
-                                F.count(F.when(~inside, 1)).alias("n_outliers"))
+    fenced, boxes, inside = _boxes(df, value, by)
+    outliers = F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0))
+    ends = fenced.groupBy(by).agg(F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
+                                  F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
+                                  outliers.alias("n_outliers"))
     # A whisker never ends inside the box.
-    return box.join(ends, by).select(
+    return boxes.join(ends, by).select(
         by, "n", "q1", "median", "q3", F.least("whisker_low", "q1").alias("whisker_low"),
         F.greatest("whisker_high", "q3").alias("whisker_high"), "n_outliers")
 
 
 def boxplot_outliers(df: DataFrame, value: str = "dose_amt", by: str = "serious") -> DataFrame:
     """Values beyond the whiskers with their frequency."""
-    rows, _, lookup = _fences(df, value, by)
-    rows = rows.withColumn("_fence", F.element_at(lookup, F.col(by)))
-    outside = (F.col("x") < F.col("_fence.fence_low")) | (F.col("x") > F.col("_fence.fence_high"))
-    return rows.where(outside).groupBy(by, F.col("x").alias("outlier")).agg(F.count("*").alias("n"))
+    fenced, _, inside = _boxes(df, value, by)
+    return fenced.where(~inside).select(by, F.col("x").alias("outlier"), F.col("_n").alias("n"))
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str] = CORRELATED) -> DataFrame:

@@ -29,7 +29,8 @@ _QUERIES: dict[str, Query] = {}
 
 # Small models: the registered queries show the jobs, not the best fit.
 TREES = TreeSettings(trees=10, depth=4)
-FUSION = FusionSettings(iterations=(10, 20))
+FUSION = FusionSettings(iterations=(10,))
+CANDIDATES = FusionSettings(iterations=(5, 10))
 
 
 def query(function: Query) -> Query:
@@ -463,27 +464,26 @@ def text_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.embed(model, rows).select("primaryid", vector_to_array("embedding").alias("embedding"))
 
 
-def _models(spark: SparkSession, sf_dir: str) -> tuple[ReportModels, DataFrame]:
-    return train(materialize(_labelled(spark, sf_dir, country=True), "cases"), TREES, FUSION, folds=3)
+def _models(spark: SparkSession, sf_dir: str) -> ReportModels:
+    return train(_labelled(spark, sf_dir, country=True), TREES, FUSION, folds=3)[0]
 
 
 @query
 def fusion_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _models(spark, sf_dir)[1]
+    return train(_labelled(spark, sf_dir, country=True), TREES, CANDIDATES, folds=3)[1]
 
 
 @query
 def fusion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scored, explained reports for every case."""
-    models, _ = _models(spark, sf_dir)
+    models = _models(spark, sf_dir)
     return models.score(_labelled(spark, sf_dir, country=True))
 
 
 @query
 def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Validation metrics of trees, text and both."""
-    labelled = materialize(_labelled(spark, sf_dir, country=True), "cases")
-    *_, table = fusion_inputs(labelled, TREES, FUSION, folds=3)
+    *_, table = fusion_inputs(_labelled(spark, sf_dir, country=True), TREES, FUSION, folds=3)
     training, held_out = table.where("is_train = 1"), table.where("is_train = 0")
     network, text = fusion.fit_fusion(training, FUSION), fusion.fit_text_only(training)
     return fusion.ablation(fusion.score_text_only(text, fusion.fuse(network, held_out)))
@@ -526,7 +526,7 @@ def token_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests scored by a stream that runs until none are left."""
-    models, _ = _models(spark, sf_dir)
+    models = _models(spark, sf_dir)
     inbox, outbox, progress = (new_path(spark, name) for name in ("requests", "scores", "progress"))
     _requests(spark, sf_dir).write.parquet(inbox)
     start_scoring(models, read_request_stream(spark, inbox), outbox, progress, available_now=True).awaitTermination()

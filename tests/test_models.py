@@ -84,7 +84,7 @@ def test_shapley_values_add_up_to_the_margin(spark, trees, table):
 
 def test_shapley_values_by_brute_force(spark, trees, table):
     leaves = attribution.leaves_of(trees, spark)
-    rows = table.orderBy("primaryid").limit(4)
+    rows = table.orderBy("primaryid").limit(2)
     found = {r["primaryid"]: r for r in attribution.TreeExplainer(trees, spark).explain(rows).collect()}
     for row in rows.collect():
         x = [row[f] for f in FEATURES]
