@@ -65,6 +65,9 @@ RISK_REACTIONS = "bleeding|anaphylaxis|liver"
 HIGH_RISK, LOW_RISK = "HIGH RISK", "LOW RISK"
 HIGH_RISK_MARK, LOW_RISK_MARK = "🔴", "🟢"
 RAISES, LOWERS = "increases risk", "decreases risk"
+FACTOR_LINE = "• %s: %+.4f (%s)"
+SCORE_LINE = "**ADR Risk Score:** `%.4f`"
+FACTORS_TITLE = "### 🔍 Top Contributing Factors"
 
 SEED = 42
 

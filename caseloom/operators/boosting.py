@@ -87,4 +87,4 @@ def feature_importance(model: PipelineModel, features: Sequence[str] = FEATURES)
     gains = ensemble(model).featureImportances.toArray()
     schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("importance", T.DoubleType())])
     rows = [(name, float(gain)) for name, gain in zip(features, gains)]
-    return SparkSession.getActiveSession().createDataFrame(rows, schema).orderBy(F.desc("importance"), "feature")
+    return SparkSession.active().createDataFrame(rows, schema).orderBy(F.desc("importance"), "feature")

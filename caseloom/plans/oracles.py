@@ -370,11 +370,11 @@ parts as (
   select primaryid, score, unnest([{", ".join(f"{{'place': {i}, 'feature': '{n}', 'value': (coalesce({body}, med_{n}) - mean_{n}) / std_{n}}}" for i, (n, body) in enumerate(_NUMERIC.items()))}]) as part
   from scored cross join stats),
 ranked as (select *, row_number() over (partition by primaryid order by abs(part.value) desc, part.place) as rank from parts)
-select primaryid, '## ' || case when score >= 0.5e0 then '🔴 HIGH RISK' else '🟢 LOW RISK' end
+select primaryid, chr(10) || '## ' || case when score >= 0.5e0 then '🔴 HIGH RISK' else '🟢 LOW RISK' end
   || chr(10) || chr(10) || '**ADR Risk Score:** `' || printf('%.4f', score) || '`' || chr(10) || chr(10) || '---' || chr(10) || chr(10)
-  || '### Top Contributing Factors' || chr(10)
+  || '### 🔍 Top Contributing Factors' || chr(10)
   || string_agg('• ' || part.feature || ': ' || printf('%+.4f', part.value) || ' ('
-     || case when part.value > 0 then 'increases risk' else 'decreases risk' end || ')', chr(10) order by rank) as report
+     || case when part.value > 0 then 'increases risk' else 'decreases risk' end || ')', chr(10) order by rank) || chr(10) as report
 from ranked where rank <= 3 group by primaryid, score""",
         "request_defaults": with_cases(
             "select primaryid, drugname, route, prod_ai, reactions, cast(age as double) as age, wt, sex, "
