@@ -62,11 +62,14 @@ def distinct_values(table: DataFrame, columns: Sequence[str], keys: Sequence[str
               .where("value is not null or field = 0")
               .groupBy(*keys, "field", "value").agg(F.min("row_order").alias("first")))
 
-    def ordered(i: int) -> Column:
-        seen = F.collect_list(F.when((F.col("field") == i) & F.col("value").isNotNull(), F.struct("first", "value")))
-        return F.transform(F.array_sort(seen), lambda x: x["value"])
+    # One list per key, sorted by field, then position.
+    seen = firsts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("field", "first", "value"))).alias("seen"))
 
-    return firsts.groupBy(*keys).agg(*[ordered(i).alias(c) for i, c in enumerate(present)])
+    def values(i: int) -> Column:
+        own = F.filter("seen", lambda x: (x["field"] == i) & x["value"].isNotNull())
+        return F.transform(own, lambda x: x["value"])
+
+    return seen.select(*keys, *[values(i).alias(c) for i, c in enumerate(present)])
 
 
 def joined_values(table: DataFrame, columns: Sequence[str], keys: Sequence[str] = CASE) -> DataFrame:
