@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Paths of the tables this process wrote, until they are removed.
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_PATHS: set[str] = set()
+
 
 def build_session(app_name: str = "caseloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the package relies on; ``conf`` overrides them."""
@@ -63,4 +68,26 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """
     path = new_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN[table] = path
+    _PATHS.add(path)
+    return table
+
+
+def remove_table(table: DataFrame) -> None:
+    """Remove what ``materialize`` wrote for ``table``, once nothing reads it any more."""
+    path = _WRITTEN.pop(table, None)
+    if path is not None:
+        _remove(table.sparkSession, path)
+
+
+def release(spark: SparkSession) -> None:
+    """Remove every table written so far; results that still read one must have been stored before."""
+    for path in sorted(_PATHS):
+        _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    _PATHS.discard(path)
