@@ -4,22 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import simhash
+from caseloom.llm import hosts, mixing, packing, simhash
 from caseloom.llm.common import table
 
+WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and class of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page."""
+    return hosts.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in sequences of 2048 ids."""
+    return packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position of every document in the mixture of the sources."""
+    return (mixing.mix(table(spark, sf_dir, "documents"))
+            .select("doc_id", "source", "position", "weight", "block"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op7_url_filter": op7_url_filter,
+        "op9_packing": op9_packing,
+        "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_url_filter": hosts.judge_sql(URL_RULES),
+    }
