@@ -107,7 +107,8 @@ def mix(docs: DataFrame, weights: Mapping[str | None, int] | None = None, source
     plan = spark.createDataFrame([(k, chosen[k], -(-counts[k] // BUCKET_ROWS), phases[k]) for k in sorted(counts)], schema)
 
     # Ranks without a window over a whole source: buckets by hash, ranks inside, bucket sizes summed before.
-    hashed = (keyed.join(plan, "_mix_key")
+    # The plan is bounded by the sources and is broadcast: a join by source would deal whole sources to single tasks.
+    hashed = (keyed.join(F.broadcast(plan), "_mix_key")
               .withColumn("_mix_hash", F.xxhash64(key))
               .withColumn("_mix_bucket", F.pmod("_mix_hash", "_mix_buckets")))
     sizes = hashed.groupBy("_mix_key", "_mix_bucket").agg(F.count("*").alias("_mix_size"))
