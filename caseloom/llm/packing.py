@@ -14,9 +14,12 @@ as can be. Shorter pieces then go, longest first, into the tightest gap left.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Mapping
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,22 +34,54 @@ CAPACITY = 2048
 # Id put after every document.
 END = 0
 # Words whose ids a worker remembers, and the longest it remembers.
-MEMORY_WORDS, MEMORY_BYTES = 400_000, 48
+MEMORY_WORDS, MEMORY_BYTES = 500_000, 48
+# Words that normalisation only puts in lower case and that hold one run of letters.
+_PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
 
 
 class WordTokens:
     """Ids of texts, word by word.
 
     The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words in turn, and frequent words are looked up.
+    are those of its words in turn, and frequent words are looked up. A new word
+    of plain letters goes straight to the tokenizer's merges; any other takes
+    the tokenizer's whole way.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(ord("ß"), 256) if c != 0xF7]
+        self.bytes_as_letters = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in letters})
+        self.merges = self.tokenizer.model.tokenize
         self.known: dict[bytes, bytes] = {}
+        self.marks = {mark: self._whole(mark) if mark else b"" for mark in ("", ".", ",")}
+
+    def _whole(self, word: str) -> bytes:
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        plain = _PLAIN.fullmatch(text.lower())
+        if plain is None or len(plain[0]) != len(text):
+            return self._whole(text)
+        letters, mark = plain.groups()
+        if mark or letters != text:
+            # The bare word may be known already; its marks never are part of its ids.
+            bare = letters.encode()
+            if bare not in self.known:
+                self.known[bare] = self._merged(letters)
+            return self.known[bare] + self.marks[mark]
+        return self._merged(letters)
+
+    def _merged(self, letters: str) -> bytes:
+        if not letters.isascii():
+            letters = letters.translate(self.bytes_as_letters)
+        return array("I", [token.id for token in self.merges(letters)]).tobytes()
 
     def ids(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
@@ -55,10 +90,7 @@ class WordTokens:
             self.known = {}
         known = self.known
         fresh = list(set().union(*split).difference(known))
-        for start in range(0, len(fresh), 4096):
-            some = fresh[start:start + 4096]
-            for word, got in zip(some, self.tokenizer.encode_batch([w.decode() for w in some], add_special_tokens=False)):
-                known[word] = np.array(got.ids, "<u4").tobytes()
+        known.update(zip(fresh, map(self._word, fresh)))
         found = [b"".join(map(known.__getitem__, words)) for words in split]
         for word in fresh:
             if len(word) > MEMORY_BYTES:
@@ -66,6 +98,12 @@ class WordTokens:
         return found
 
 
+@cache
+def word_tokens(path: str) -> WordTokens:
+    """One per worker process: reading the file takes longer than many texts."""
+    return WordTokens(path)
+
+
 def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32, and ids if asked for.
 
@@ -75,7 +113,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"] + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, task = WordTokens(tokenizer_path), TaskContext.get().partitionId()
+        tokens, task = word_tokens(tokenizer_path), TaskContext.get().partitionId()
         places = np.zeros(capacity + 1, np.int64)
         for whole in batches:
             # Few texts at a time: ids of a text are up to four times its size.
