@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import hosts, mixing, packing, simhash, toxicity
+from caseloom.llm import hamming, hosts, mixing, packing, simhash, sketches, toxicity
 from caseloom.llm.common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +22,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text."""
+    return sketches.with_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -32,6 +37,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hosts.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
 
 
+def op8_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten nearest codes of every hundredth vector."""
+    return hamming.search(table(spark, sf_dir, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in sequences of 2048 ids."""
     return packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
@@ -46,8 +56,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op4_sketches": op4_sketches,
         "op6_toxicity": op6_toxicity,
         "op7_url_filter": op7_url_filter,
+        "op8_hamming_topk": op8_hamming_topk,
         "op9_packing": op9_packing,
         "op10_mixing": op10_mixing,
     }
@@ -56,4 +68,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op7_url_filter": hosts.judge_sql(URL_RULES),
+        "op8_hamming_topk": hamming.search_sql(),
     }
