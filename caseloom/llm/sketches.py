@@ -14,12 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caseloom.llm.common import hashes, rolled, words_of
-from caseloom.session import materialize
 
 # Hashes of a sketch; the standard error of a resemblance is at most 1 / (2 sqrt(SIZE)).
 SIZE = 128
@@ -117,66 +115,69 @@ def _edited(doc_id: int | None, text: str, following: str, own: np.ndarray, foll
 
 
 def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs each row with the next one of the task.
-
-    The first row (``head``) and the last one (``open``) go on with their texts,
-    to be paired across tasks.
-    """
-    task, last = TaskContext.get().partitionId(), None
-
-    def ends(kind: str, row: tuple) -> tuple:
-        return (row[0],) + (None,) * (len(_NAMES) - 1) + (kind, task, row[1])
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows)) or [()] * (len(_NAMES) + 3)
-        kinds = [*_KINDS, pa.string(), pa.int32(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)],
-                                          [*_NAMES, "kind", "task", "text"])
-
+    """Pairs each row with the next one of its range; rows come sorted, a range's last one is a guest."""
+    last = None
     for whole in batches:
         for batch in (whole.slice(i, 512) for i in range(0, whole.num_rows, 512)):
             rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                text = text or ""
+            for part, doc_id, text in zip(*(batch.column(n).to_pylist() for n in ("part", "doc_id", "text"))):
                 own = (doc_id, text, sketch(text.encode()))
-                if last is None:
-                    rows.append(ends("head", own))
-                else:
-                    rows.append((*_edited(*last[:2], text, last[2], own[2]), "done", task, None))
-                last = own
-            yield out(rows)
-    if last is not None:
-        yield out([ends("open", last)])
+                if last is not None and last[0] == part:
+                    rows.append(_edited(*last[1][:2], text, last[1][2], own[2]))
+                last = (part, own)
+            yield _batch(rows)
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [_edited(i, text, following, sketch(text.encode()), sketch(following.encode()))
-                for i, text, following in zip(*(batch.column(n).to_pylist() for n in ("doc_id", "text", "following")))]
-        columns = list(zip(*rows)) or [()] * len(_NAMES)
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, _KINDS)], _NAMES)
+        rows = []
+        for text in batch.column("text").to_pylist():
+            own = sketch(text.encode())
+            rows.append(_edited(None, text, text, own, own))
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(_NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, _KINDS)], _NAMES)
+
+
+def _range_of(value: Column, cuts: list[int]) -> Column:
+    """How many of the ascending ``cuts`` are at least ``value``, by coarse and fine search."""
+    stride = max(1, round(len(cuts) ** 0.5))
+    coarse = F.array(*[F.lit(c) for c in cuts[stride - 1::stride]]).cast("array<bigint>")
+    below = F.size(F.filter(coarse, lambda c: c < value)) * stride
+    fine = F.slice(F.array(*[F.lit(c) for c in cuts]).cast("array<bigint>"), below + 1, stride)
+    return F.lit(len(cuts)) - below - F.size(F.filter(fine, lambda c: c < value))
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint and that of its text with the last third taken from the next document.
 
     The next document is the one before it by doc_id, and the largest for the
-    smallest. Texts move once, in ranges of doc_id; only the ends of a range are
-    met across tasks. Null text is empty. Rows without a doc_id come last, rows
-    that share one follow each other by text. Only doc_id and text are read. A
-    table of one row is its own next; an empty one gives no rows.
+    smallest. doc_ids are cut into ranges at their quantiles, four for each
+    shuffle partition. The first document of a range also goes to the range
+    before as a guest, so texts move once and every pair meets in one task. Null
+    text is empty. Rows that share a doc_id follow each other by text; a row
+    without one is its own next. Only doc_id and text are read. A table of one
+    row is its own next; an empty one gives no rows.
     """
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    walked = materialize(
-        texts.repartitionByRange(order[0]).sortWithinPartitions(*order)
-        .mapInArrow(_walk, _COLUMNS + ", kind string, task int, text string"), "sketches")
-    heads = walked.where("kind = 'head'").select("task", F.col("text").alias("following"))
-    # One number per task.
-    tasks = heads.select("task")
-    after = tasks.select("task", F.lead("task").over(Window.orderBy("task")).alias("next"))
-    first = tasks.agg(F.min("task")).scalar()
-    pairs = (walked.where("kind = 'open'").select("doc_id", "text", "task")
-             .join(after, "task").withColumn("next", F.coalesce("next", first))
-             .join(heads.withColumnRenamed("task", "next"), "next").select("doc_id", "text", "following"))
-    return walked.where("kind = 'done'").select(*_NAMES).unionByName(pairs.mapInArrow(_meet, _COLUMNS))
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
+                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    named = texts.where("doc_id is not null")
+    ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # What the driver sees is bounded by the shuffle partitions: cut points and one id for each range.
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    cuts = sorted(set(named.agg(F.percentile_approx("doc_id", shares, F.lit(20 * ranges))).first()[0] or [0]))
+    part = _range_of(F.col("doc_id"), cuts)
+    heads = sorted((row["part"], row["head"]) for row in
+                   named.groupBy(part.alias("part")).agg(F.max("doc_id").alias("head")).collect())
+    following = [(heads[(i + 1) % len(heads)][1], number) for i, (number, _) in enumerate(heads)]
+    visits = spark.createDataFrame(following, "doc_id bigint, part int")
+    guests = (named.join(F.broadcast(visits), "doc_id").groupBy("part").agg(F.min(F.struct("text", "doc_id")).alias("row"))
+              .select("part", F.lit(1).alias("guest"), "row.doc_id", "row.text"))
+    rows = named.select(part.alias("part"), F.lit(0).alias("guest"), "doc_id", "text").unionByName(guests)
+    walked = (rows.repartition("part").sortWithinPartitions("part", "guest", F.col("doc_id").desc(), "text")
+              .mapInArrow(_walk, _COLUMNS))
+    return walked.unionByName(texts.where("doc_id is null").mapInArrow(_alone, _COLUMNS))
