@@ -80,7 +80,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> DataFra
         probes = (active.select("query", F.explode(_segments(F.col("query"))).alias("s"))
                   .select("query", "s.segment", "s.value", F.explode(_masks(radius)).alias("mask"))
                   .select("query", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value")))
-        found = probes.join(index, ["segment", "value"]).select(
+        # Neither side is small, though Spark may take the exploded probes for it.
+        found = probes.join(index.hint("merge"), ["segment", "value"]).select(
             "query", "code", distance(F.col("query"), F.col("code")).alias("distance"), "ids")
         # A code is met in each segment that is near enough; one row of it is kept.
         ranked = (best.unionByName(found).dropDuplicates(["query", "code"])
