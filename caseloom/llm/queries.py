@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from caseloom.llm import hamming, hosts, mixing, packing, simhash, sketches, toxicity
+from caseloom.llm import hamming, hosts, mixing, packing, simhash, sketches, substrings, toxicity
 from caseloom.llm.common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -22,6 +23,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that a window seen earlier covers, and a digest of the others."""
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every document and of its edited text."""
     return sketches.with_edits(table(spark, sf_dir, "documents"))
@@ -56,6 +63,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op3_substring_dedup": op3_substring_dedup,
         "op4_sketches": op4_sketches,
         "op6_toxicity": op6_toxicity,
         "op7_url_filter": op7_url_filter,
