@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import hamming, hosts, mixing, packing, simhash, sketches, substrings, toxicity
+from caseloom.llm import hamming, hosts, mixing, packing, pii, simhash, sketches, substrings, toxicity
 from caseloom.llm.common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -34,6 +34,14 @@ def op4_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.with_edits(table(spark, sf_dir, "documents"))
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with surrogates, and how many entities it had."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return (pii.with_surrogates(docs, found_as="entities")
+            .select("doc_id", "text", F.size("entities").alias("n_entities"),
+                    F.array_join(F.array_sort(F.array_distinct("entities.kind")), ",").alias("kinds")))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -65,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash": op1_simhash,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_sketches": op4_sketches,
+        "op5_surrogates": op5_surrogates,
         "op6_toxicity": op6_toxicity,
         "op7_url_filter": op7_url_filter,
         "op8_hamming_topk": op8_hamming_topk,
