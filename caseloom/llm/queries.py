@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import hamming, hosts, mixing, packing, pii, simhash, sketches, substrings, toxicity
+from caseloom.llm import hamming, hosts, mixing, packing, pii, secret_scan, simhash, sketches, substrings, toxicity
 from caseloom.llm.common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +23,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of the secrets in every document."""
+    found = secret_scan.find_secrets(table(spark, sf_dir, "documents"))
+    counts = [secret_scan.counted(F.col("spans"), kind).alias(f"n_{kind}") for kind in secret_scan.KINDS]
+    return found.select("doc_id", *counts, F.sha2(secret_scan.joined(F.col("base")), 256).alias("base_sha256"),
+                        secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that a window seen earlier covers, and a digest of the others."""
     kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
@@ -71,6 +79,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
+        "op2_secrets": op2_secrets,
         "op3_substring_dedup": op3_substring_dedup,
         "op4_sketches": op4_sketches,
         "op5_surrogates": op5_surrogates,
