@@ -276,7 +276,8 @@ def _free(docs: DataFrame, name: str) -> str:
     return name
 
 
-def with_surrogates(docs: DataFrame, key: bytes = KEY, found_as: str | None = None) -> DataFrame:
+def with_surrogates(docs: DataFrame, key: bytes = KEY, found_as: str | None = None,
+                    length: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text``; all rows and other columns stay as they are.
 
     Texts without entities are not touched, null stays null. Repeated rows get
@@ -300,4 +301,6 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY, found_as: str | None = No
     columns = [*docs.columns, *([found] if found_as else [])]
     changed = marked.where(F.size(found) > 0).join(lists, F.col(row) == F.col("row"))
     changed = changed.select(*[put(F.col("text"), F.col("drawn")).alias("text") if c == "text" else marked[c] for c in columns])
+    if length is not None and length in columns:
+        changed = changed.withColumn(length, F.length("text").cast(docs.schema[length].dataType))
     return marked.where(F.size(found) == 0).select(*columns).unionByName(changed)

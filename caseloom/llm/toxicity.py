@@ -232,7 +232,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
             .withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int")))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """``docs`` without the texts predicted toxic; all columns stay as they are."""
-    model = fit(docs, labels)
     return docs.where(score(F.col("text").cast("string"), model) < THRESHOLD)
