@@ -246,10 +246,13 @@ def repeats(docs: DataFrame) -> DataFrame:
     """
     segments = materialize(docs.mapInArrow(
         _segments, "doc_id bigint, start int, n int, anchor bigint, content bigint"), "segments")
-    # Hot anchors fold before the shuffle; the join that follows lets Spark split them.
-    shared = segments.groupBy("anchor").agg(F.count("*").alias("met")).where("met > 1").select("anchor")
+    # Hot anchors fold before the shuffle. The counts are written, for Spark splits the hot partitions of a
+    # join only if nothing is aggregated between the shuffle and the join.
+    shared = materialize(segments.groupBy("anchor").agg(F.count("*").alias("met")).where("met > 1").select("anchor"),
+                         "shared")
     met = materialize(segments.join(shared, "anchor"), "met")
     remove_table(segments)
+    remove_table(shared)
     contents = materialize(
         met.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.max("n").alias("n"))
         .select("anchor", "content", "first.doc_id", "first.start", "n"), "contents")
