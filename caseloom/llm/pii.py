@@ -34,7 +34,8 @@ IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3}
 CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w)")
 IP = re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
-PHONE = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-])"
+# Not a part of a longer row of number groups.
+PHONE = re.compile(r"(?<![\w.+-])(?<!\d )(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-]| \d)"
                    r"|(?<![\w.+-])\+\d{7,15}(?!\w)")
 
 # Titles by the gender they tell.
