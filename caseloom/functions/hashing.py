@@ -16,8 +16,8 @@ BUCKET_WIDTH = 21474837
 
 
 def portable_hash(key: Column, salt: int = SPLIT_SALT) -> Column:
-    """bigint in [0, 2**31); bigint arithmetic only, no overflow for any key."""
-    reduced = F.pmod(key.cast("bigint"), F.lit(2147483647).cast("bigint"))
+    """bigint in [0, 2**31); bigint arithmetic only, no overflow for any key. A null key hashes like 0."""
+    reduced = F.pmod(F.coalesce(key.cast("bigint"), F.lit(0).cast("bigint")), F.lit(2147483647).cast("bigint"))
     return (reduced * F.lit(salt).cast("bigint") + F.lit(12345).cast("bigint")) % F.lit(HASH_RANGE).cast("bigint")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -67,6 +68,8 @@ def out_of_fold(df: DataFrame, settings: TreeSettings = TreeSettings(), folds: i
     ``df`` is a written table with ``fold``. The fits are independent jobs and
     run side by side.
     """
+    # Jobs of the threads keep the caller's job group and properties.
+    @inheritable_thread_target(df.sparkSession)
     def fit(fold: int) -> PipelineModel:
         return fit_trees(df.where(F.col("fold") != fold), settings, features, label)
 

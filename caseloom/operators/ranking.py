@@ -106,7 +106,8 @@ BUCKET_SHIFT = 19
 def number_rows(df: DataFrame, key: str, salt: int = SPLIT_SALT, by: str | None = None) -> DataFrame:
     """Add ``row_no``, counting from 1 in order of (hash of key, key), within ``by`` if given.
 
-    ``key`` must be unique, as it is in a case table. Rows without a group get no number.
+    ``key`` must be unique, as it is in a case table; one row may have none.
+    Rows without a group get no number.
     """
     group = [by] if by else []
     rows = df.withColumn("_hash", portable_hash(F.col(key), salt))
@@ -125,7 +126,8 @@ def sample_exact(df: DataFrame, n: int, key: str = "primaryid", salt: int = SPLI
     """Exactly ``min(n, rows)`` rows, the same ones on every run and layout.
 
     Bucket sizes tell which bucket holds the n-th row, so only about n rows are
-    shuffled, and ranked within their buckets. ``key`` must be unique.
+    shuffled, and ranked within their buckets. ``key`` must be unique; one row
+    may have none.
     """
     rows = df.withColumn("_hash", portable_hash(F.col(key), salt))
     rows = rows.withColumn("_bucket", F.shiftright("_hash", BUCKET_SHIFT))

@@ -76,7 +76,7 @@ def age_band(age: Column) -> Column:
 
 
 def rate_by_age_band(df: DataFrame, label: str = "serious") -> DataFrame:
-    return rate_by(df.select(age_band(F.col("age")).alias("age_band"), label), "age_band", label)
+    return rate_by(df.select(age_band(to_number(df, "age")).alias("age_band"), label), "age_band", label)
 
 
 def crosstab(df: DataFrame, column: str = "sex", label: str = "serious") -> DataFrame:
@@ -88,9 +88,9 @@ def crosstab(df: DataFrame, column: str = "sex", label: str = "serious") -> Data
 def histogram(df: DataFrame, value: str, by: str = "serious", bins: int = BINS) -> DataFrame:
     """Equal-width bins over each class's own range, the last one closed; empty bins count 0.
 
-    ``by`` is a class column with few values.
+    ``by`` is a class column with few values. Texts that are no numbers are left out.
     """
-    rows = df.where(F.col(value).isNotNull() & F.col(by).isNotNull()).select(by, F.col(value).cast("double").alias("x"))
+    rows = df.where(F.col(by).isNotNull()).select(by, to_number(df, value).alias("x")).where("x is not null")
     spans = rows.groupBy(by).agg(F.min("x").alias("low"), F.max("x").alias("high"))
     # A constant column gets a range of width one around its value.
     flat = F.col("low") == F.col("high")
@@ -135,7 +135,10 @@ def _boxes(df: DataFrame, value: str, by: str) -> tuple[DataFrame, DataFrame, Co
 
 
 def boxplot(df: DataFrame, value: str = "dose_amt", by: str = "serious") -> DataFrame:
-    """Quartiles, whiskers at the last values within 1.5 interquartile ranges, outlier count."""
+    """Quartiles, whiskers at the last values within 1.5 interquartile ranges, outlier count.
+
+    ``by`` is a class column with few values.
+    """
     fenced, boxes, inside = _boxes(df, value, by)
     outliers = F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0))
     ends = fenced.groupBy(by).agg(F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
@@ -148,7 +151,7 @@ def boxplot(df: DataFrame, value: str = "dose_amt", by: str = "serious") -> Data
 
 
 def boxplot_outliers(df: DataFrame, value: str = "dose_amt", by: str = "serious") -> DataFrame:
-    """Values beyond the whiskers with their frequency."""
+    """Values beyond the whiskers with their frequency; ``by`` is a class column with few values."""
     fenced, _, inside = _boxes(df, value, by)
     return fenced.where(~inside).select(by, F.col("x").alias("outlier"), F.col("_n").alias("n"))
 

@@ -16,7 +16,7 @@ from caseloom.config import CATEGORICAL_FEATURES, NUMERIC_FEATURES, FusionSettin
 from caseloom.functions.hashing import FOLD_SALT, NOISE_SALT, SPLIT_SALT, portable_hash, uniform
 from caseloom.functions.numbers import at_least, to_number
 from caseloom.functions.report import report_text, risk_label
-from caseloom.functions.text import clean_text, tokens, words
+from caseloom.functions.text import clean_text, risky_reaction, tokens, words
 from caseloom.operators import attribution, boosting, cases, features, fusion, metrics, ranking, splits, statistics, tokeninfluence
 from caseloom.plans.training import ReportModels, fusion_inputs, train
 from caseloom.session import materialize, new_path
@@ -171,7 +171,7 @@ def tokens_256(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def risky_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = proxies.table(spark, sf_dir, "documents")
-    return documents.select("doc_id", F.col("text").rlike("bleeding|anaphylaxis|liver|tion").alias("found"))
+    return documents.select("doc_id", F.coalesce(risky_reaction(F.col("text")), F.lit(False)).alias("found"))
 
 
 # Tabular features

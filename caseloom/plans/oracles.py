@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from caseloom.config import (ABBREVIATIONS, CATEGORICAL_FEATURES, DEMO_REACTIONS, EMPTY_NARRATIVE, FACTORS_TITLE, HIGH_RISK,
+                             HIGH_RISK_MARK, LOW_RISK, LOW_RISK_MARK, LOWERS, RAISES, RISK_REACTIONS, SERIOUS_OUTCOMES)
 from caseloom.functions.hashing import FOLD_SALT, NOISE_SALT, SPLIT_SALT
 from caseloom.operators.metrics import THRESHOLDS
 from caseloom.operators.statistics import BINS, CORRELATED
 
 _QUARTER = "case when {key} % 2 = 0 then '2022q1' else '2022q2' end"
 
+_TERMS = ", ".join(f"'{term}'" for term in DEMO_REACTIONS)
+
+_SERIOUS = ", ".join(f"'{code}'" for code in SERIOUS_OUTCOMES)
+
 _TABLES = f"""
 demo as (
   select o_orderkey as primaryid,
@@ -32,9 +38,7 @@ drug as (
   from lineitem join part on l_partkey = p_partkey),
 reac as (
   select l_orderkey as primaryid,
-    case l_suppkey % 10 when 0 then 'nausea' when 1 then 'headache' when 2 then 'dizziness' when 3 then 'rash'
-      when 4 then 'fatigue' when 5 then 'chest pain' when 6 then 'dyspnea' when 7 then 'bleeding'
-      when 8 then 'liver injury' else 'anaphylaxis' end as pt,
+    ([{_TERMS}])[l_suppkey % 10 + 1] as pt,
     {_QUARTER.format(key="l_orderkey")} as quarter,
     l_linenumber * 1099511627776 + l_suppkey as row_order
   from lineitem),
@@ -68,7 +72,7 @@ drug_first as (
   select quarter, primaryid, n_drugs as drug_seq, dose_amt, dose_freq, dur, dechal, rechal
   from drug_ranked where place = 1),
 flags as (
-  select quarter, primaryid, max(case when outc_cod in ('DE','LT','HO','DS','CA','RI') then 1 else 0 end) as serious
+  select quarter, primaryid, max(case when outc_cod in ({_SERIOUS}) then 1 else 0 end) as serious
   from outc group by quarter, primaryid)"""
 
 _HASH = "((({key} % 2147483647) * {salt} + 12345) % 2147483648)"
@@ -87,7 +91,7 @@ cases as (
   left join reac_text using (primaryid) left join flags using (primaryid)),
 risky as (
   select *, case when age > 65 then 0.3e0 else 0.0e0 end + case when drug_seq > 5 then 0.2e0 else 0.0e0 end
-      + case when regexp_matches(reactions, 'bleeding|anaphylaxis|liver') then 0.4e0 else 0.0e0 end
+      + case when regexp_matches(reactions, '{RISK_REACTIONS}') then 0.4e0 else 0.0e0 end
       + {_hash(NOISE_SALT)} / 2147483648.0e0 * 0.3e0 as risk
   from cases),
 labelled as (select * exclude (serious, risk), cast(risk > 0.5e0 as int) as serious from risky),
@@ -104,16 +108,11 @@ def with_cases(body: str) -> str:
 # Letters, digits and underscore of any script; every kind of space.
 _WORD = r"\p{L}\p{N}_"
 _SPACE = r"\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-_ABBREVIATIONS = [("QD", "once daily"), ("BID", "twice daily"), ("TID", "three times daily"),
-                  ("QID", "four times daily"), ("PRN", "as needed"), ("IV", "intravenous"), ("IM", "intramuscular"),
-                  ("SC", "subcutaneous"), ("PO", "oral"), ("SOB", "shortness of breath"), ("CP", "chest pain"),
-                  ("HA", "headache")]
-
 
 def clean(text: str) -> str:
     # No look-around here: each match takes its neighbours along, so two passes
     # are needed for terms that share one.
-    for short, meaning in _ABBREVIATIONS:
+    for short, meaning in ABBREVIATIONS.items():
         for _ in range(2):
             text = (rf"regexp_replace({text}, '(^|[^{_WORD}])(?i:{short})($|[^{_WORD}])', "
                     rf"'\1{meaning}\2', 'g')")
@@ -123,12 +122,12 @@ def clean(text: str) -> str:
 
 _COMBINED = ("concat_ws('. ', 'Drug: ' || drugname, 'Route: ' || route, "
              "'Active ingredient: ' || prod_ai, 'Reactions: ' || reactions)")
-_NARRATIVE = f"coalesce(nullif({clean(_COMBINED)}, ''), 'no clinical information available')"
+_NARRATIVE = f"coalesce(nullif({clean(_COMBINED)}, ''), '{EMPTY_NARRATIVE}')"
 
 _NUMBER = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 _DOSE = f"case when regexp_matches(dose_amt, '{_NUMBER}') then cast(dose_amt as double) end"
 _NUMERIC = {"age": "cast(age as double)", "wt": "wt", "drug_seq": "drug_seq", "dose_amt": _DOSE, "dur": "cast(dur as double)"}
-_CATEGORIES = ["sex", "occr_country", "dose_freq", "dechal", "rechal", "route"]
+_CATEGORIES = CATEGORICAL_FEATURES
 _FLAGS = f"""cast(coalesce(age, 55) > 65 as int) as is_elderly, cast(coalesce(age, 55) < 18 as int) as is_pediatric,
     cast(coalesce(drug_seq, 1) > 5 as int) as polypharmacy, cast(coalesce({_DOSE}, 0) > 500 as int) as high_dose,
     cast(coalesce(dur, 0) > 90 as int) as long_duration"""
@@ -284,7 +283,7 @@ def oracle_sql() -> dict[str, str]:
         "first_drug": with_cases("select quarter, primaryid, drug_seq, dose_amt, dose_freq, dur, dechal, rechal from drug_first"),
         "serious_flag": with_cases("select quarter, primaryid, serious from flags"),
         "outcome_codes": with_cases(
-            "select primaryid, outc_cod, case when outc_cod in ('DE','LT','HO','DS','CA','RI') then 1 else 0 end as serious from outc"),
+            f"select primaryid, outc_cod, case when outc_cod in ({_SERIOUS}) then 1 else 0 end as serious from outc"),
         "quarter_union": with_cases("select primaryid, age, sex, case when quarter = '2022q2' then wt end as wt, quarter from demo"),
         "dedup_first": _scored("select primaryid, age, sex, wt, quarter from placed where place = 1", _RESENT),
         "sample_exact": with_cases(f"select primaryid, age, sex, wt, quarter from demo order by {hash_split}, primaryid limit 5000"),
@@ -297,7 +296,7 @@ def oracle_sql() -> dict[str, str]:
         "tokens_256": "with cleaned as (select doc_id, " + clean("text") + """ as t from documents),
 words as (select doc_id, case when t = '' then [] else string_split(t, ' ') end as w from cleaned)
 select doc_id, cast(len(w) as int) as n_words, cast(len(w[1:256]) as int) as n_tokens, array_to_string(w[1:256], ' ') as tokens from words""",
-        "risky_documents": "select doc_id, regexp_matches(text, 'bleeding|anaphylaxis|liver|tion') as found from documents",
+        "risky_documents": f"select doc_id, coalesce(regexp_matches(text, '{RISK_REACTIONS}'), false) as found from documents",
         "numeric_coerce": with_cases(f"select primaryid, drug_seq, dose_amt, {_DOSE} as dose from drug"),
         "engineered_flags": with_cases(f"select primaryid, {_FLAGS} from cases"),
         "numeric_stats": _fitted() + "\n" + " union all ".join(
@@ -313,7 +312,7 @@ select doc_id, cast(len(w) as int) as n_words, cast(len(w[1:256]) as int) as n_t
         "risk_rule": with_cases("select primaryid, round(risk, 6) as risk, cast(risk > 0.5e0 as int) as serious from risky"),
         "risk_labels": _scored(
             "select primaryid, score, cast(score >= 0.5e0 as int) as predicted, "
-            "case when score >= 0.5e0 then 'HIGH RISK' else 'LOW RISK' end as risk from scored"),
+            f"case when score >= 0.5e0 then '{HIGH_RISK}' else '{LOW_RISK}' end as risk from scored"),
         "split_80_20": with_cases(f"select primaryid, cast({hash_split} // 21474837 < 80 as int) as is_train from demo"),
         "split_random": with_cases(f"select primaryid, cast({hash_other} // 21474837 < 80 as int) as is_train from demo"),
         "stratified_folds": _scored("select primaryid, serious, fold from folded", _FOLDED),
@@ -370,11 +369,11 @@ parts as (
   select primaryid, score, unnest([{", ".join(f"{{'place': {i}, 'feature': '{n}', 'value': (coalesce({body}, med_{n}) - mean_{n}) / std_{n}}}" for i, (n, body) in enumerate(_NUMERIC.items()))}]) as part
   from scored cross join stats),
 ranked as (select *, row_number() over (partition by primaryid order by abs(part.value) desc, part.place) as rank from parts)
-select primaryid, chr(10) || '## ' || case when score >= 0.5e0 then '🔴 HIGH RISK' else '🟢 LOW RISK' end
+select primaryid, chr(10) || '## ' || case when score >= 0.5e0 then '{HIGH_RISK_MARK} {HIGH_RISK}' else '{LOW_RISK_MARK} {LOW_RISK}' end
   || chr(10) || chr(10) || '**ADR Risk Score:** `' || printf('%.4f', score) || '`' || chr(10) || chr(10) || '---' || chr(10) || chr(10)
-  || '### 🔍 Top Contributing Factors' || chr(10)
+  || '{FACTORS_TITLE}' || chr(10)
   || string_agg('• ' || part.feature || ': ' || printf('%+.4f', part.value) || ' ('
-     || case when part.value > 0 then 'increases risk' else 'decreases risk' end || ')', chr(10) order by rank) || chr(10) as report
+     || case when part.value > 0 then '{RAISES}' else '{LOWERS}' end || ')', chr(10) order by rank) || chr(10) as report
 from ranked where rank <= 3 group by primaryid, score""",
         "request_defaults": with_cases(
             "select primaryid, drugname, route, prod_ai, reactions, cast(age as double) as age, wt, sex, "

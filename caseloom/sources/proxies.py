@@ -10,11 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseloom.config import DEMO_REACTIONS
 from caseloom.operators.cases import CaseTables
 
-# Stand-in reaction terms by supplier number modulo 10.
-REACTION_TERMS = ["nausea", "headache", "dizziness", "rash", "fatigue", "chest pain",
-                  "dyspnea", "bleeding", "liver injury", "anaphylaxis"]
 PROXY_QUARTERS = ["2022q1", "2022q2"]
 
 
@@ -72,7 +70,7 @@ def drug(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def reac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = ", ".join(f"'{term}'" for term in REACTION_TERMS)
+    terms = ", ".join(f"'{term}'" for term in DEMO_REACTIONS)
     return table(spark, sf_dir, "lineitem").selectExpr(
         "l_orderkey as primaryid",
         f"element_at(array({terms}), cast(l_suppkey % 10 as int) + 1) as pt",

@@ -26,8 +26,8 @@ def two_reports(spark):
                "sex string, dose_amt int, dose_freq string, dur int, drug_seq int, dechal string, rechal string, "
                "occr_country string, serious int")
     return spark.createDataFrame([
-        (1, "Aspirin", "oral", "acetylsalicylic acid", "nausea dizziness", 55, 70, "M", 100, "once daily", 30, 1,
-         "unknown", "unknown", "US", 1),
-        (2, "Ibuprofen", "oral", "ibuprofen", "headache rash", 30, 60, "F", 200, "twice daily", 14, 2,
-         "unknown", "unknown", "US", 0),
+        (1, "Warfarin", "subcutaneous", "warfarin sodium", "bleeding nose", 71, 88, "M", 5, "twice weekly", 200, 6,
+         "yes", "no", "FR", 1),
+        (2, "Amlodipine", "oral", "amlodipine besylate", "swollen ankles", 48, 59, "F", 10, "every morning", 40, 3,
+         "yes", "no", "FR", 0),
     ], columns)
