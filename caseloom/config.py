@@ -86,10 +86,9 @@ class TreeSettings:
 
 @dataclass(frozen=True)
 class FusionSettings:
-    """Text length, embedding width and the late-fusion network."""
+    """Kind of embedding (``projection`` or ``word2vec``) and the late-fusion network."""
 
-    max_tokens: int = 256
-    embedding_dim: int = 128
+    embedding: str = "projection"
     hidden_dim: int = 256
     iterations: tuple[int, ...] = (25, 50, 100)
     seed: int = SEED

@@ -1,7 +1,7 @@
 """Case assembly: four raw tables to one row per case.
 
 Each raw table carries ``primaryid``, ``quarter`` and (but for outcomes)
-``row_order``, the bigint position of a row in its source. Cases repeated in
+``row_order``, the position of a row in its source (of any type that sorts). Cases repeated in
 several quarters do not mix: every roll-up is by quarter and case.
 """
 
@@ -45,31 +45,56 @@ def serious_outcome(code: Column) -> Column:
     return F.coalesce(code.isin(SERIOUS_OUTCOMES), F.lit(False)).cast("int")
 
 
-def distinct_values(table: DataFrame, columns: Sequence[str], keys: Sequence[str] = CASE) -> DataFrame:
-    """Per key and column, the distinct non-null values in order of first appearance.
+def _folded(table: DataFrame, columns: Sequence[str], keys: Sequence[str], carried: dict[str, Column] | None = None,
+            folds: Sequence[Column] = ()) -> tuple[DataFrame, list[str]]:
+    """One row per key with ``seen``, its distinct non-null (field, first, value) sorted by field, then position.
 
     Repeats are folded to (value, first position) before and in the first
     shuffle, which spreads by value too, so a key that holds a large share of
-    the rows is split and only its distinct values meet in one row.
+    the rows is split and only its distinct values meet in one row. ``carried``
+    columns ride on the rows of field 0, of which every row of the table has
+    one; ``folds`` aggregate them, twice, so each must fold its own results.
     """
     present = [c for c in columns if c in table.columns]
-    pairs = [F.struct(F.lit(i).alias("field"), F.col(c).cast("string").alias("value"))
+    carried = carried or {}
+    pairs = [F.struct(F.lit(i).alias("field"), F.col(c).cast("string").alias("value"),
+                      *[(column if i == 0 else F.lit(None)).alias(name) for name, column in carried.items()])
              for i, c in enumerate(present)]
     firsts = (table.where(" and ".join(f"{k} is not null" for k in keys))
               .select(*keys, "row_order", F.explode(F.array(*pairs)).alias("pair"))
-              .select(*keys, "row_order", "pair.field", "pair.value")
+              .select(*keys, "row_order", "pair.*")
               # Nulls carry nothing but the key itself; field 0 alone keeps it.
               .where("value is not null or field = 0")
-              .groupBy(*keys, "field", "value").agg(F.min("row_order").alias("first")))
-
+              .groupBy(*keys, "field", "value").agg(F.min("row_order").alias("first"), *folds))
     # One list per key, sorted by field, then position.
-    seen = firsts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("field", "first", "value"))).alias("seen"))
+    return firsts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("field", "first", "value"))).alias("seen"),
+                                     *folds), present
+
+
+def _values(i: int) -> Column:
+    own = F.filter("seen", lambda x: (x["field"] == i) & x["value"].isNotNull())
+    return F.transform(own, lambda x: x["value"])
 
-    def values(i: int) -> Column:
-        own = F.filter("seen", lambda x: (x["field"] == i) & x["value"].isNotNull())
-        return F.transform(own, lambda x: x["value"])
 
-    return seen.select(*keys, *[values(i).alias(c) for i, c in enumerate(present)])
+def distinct_values(table: DataFrame, columns: Sequence[str], keys: Sequence[str] = CASE) -> DataFrame:
+    """Per key and column, the distinct non-null values in order of first appearance."""
+    seen, present = _folded(table, columns, keys)
+    return seen.select(*keys, *[_values(i).alias(c) for i, c in enumerate(present)])
+
+
+def drug_summary(drug: DataFrame, keys: Sequence[str] = CASE) -> DataFrame:
+    """``joined_values`` of the drug texts and ``first_drug`` in one pass over the table."""
+    text = [c for c in DRUG_TEXT if c in drug.columns]
+    if not text:
+        return first_drug(drug, keys)
+    taken = [c for c in FIRST_DRUG if c in drug.columns]
+    carried, folds = {"dosing": F.struct("row_order", *taken)}, [F.min("dosing").alias("dosing")]
+    if "drug_seq" in drug.columns:
+        carried["drug_seq"] = to_number(drug, "drug_seq")
+        folds.append(F.max("drug_seq").alias("drug_seq"))
+    seen, present = _folded(drug, text, keys, carried, folds)
+    return seen.select(*keys, *[F.array_join(_values(i), VALUE_SEPARATOR).alias(c) for i, c in enumerate(present)],
+                       *(["drug_seq"] if "drug_seq" in carried else []), *[f"dosing.{c}" for c in taken])
 
 
 def joined_values(table: DataFrame, columns: Sequence[str], keys: Sequence[str] = CASE) -> DataFrame:
@@ -124,9 +149,7 @@ def assemble(tables: CaseTables, quarters: Sequence[str] = QUARTERS, one_per_cas
     if sample_size:
         cases = sample_exact(cases, sample_size)
     if usable(tables.drug):
-        text = [c for c in DRUG_TEXT if c in tables.drug.columns]
-        cases = (cases.join(joined_values(tables.drug, text), CASE, "left")
-                 .join(first_drug(tables.drug), CASE, "left"))
+        cases = cases.join(drug_summary(tables.drug), CASE, "left")
     if usable(tables.reac):
         reactions = tables.reac.withColumnRenamed("pt", "reactions")
         cases = cases.join(joined_values(reactions, ["reactions"]), CASE, "left")

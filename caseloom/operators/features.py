@@ -17,11 +17,6 @@ from caseloom.session import materialize
 
 UNKNOWN = "UNKNOWN"
 NARRATIVE_PARTS = ["drugname", "route", "prod_ai", "reactions"]
-# Up to this many fitted categories (all columns together) the codes are sent to
-# every executor; beyond it they are joined by shuffle.
-BROADCAST_CATEGORIES = 50_000
-SALTS = 32
-
 NUMERIC_SCHEMA = T.StructType([T.StructField("feature", T.StringType()), T.StructField("median", T.DoubleType()),
                                T.StructField("mean", T.DoubleType()), T.StructField("std", T.DoubleType())])
 CATEGORY_SCHEMA = T.StructType([T.StructField("feature", T.StringType()), T.StructField("value", T.StringType()),
@@ -87,17 +82,12 @@ def category_values(df: DataFrame) -> DataFrame:
 
 
 def category_map(df: DataFrame) -> DataFrame:
-    """The values of each categorical feature numbered from 0 in sorted order.
-
-    Only distinct values meet in the window; ``fit_features`` takes another way
-    when there are very many.
-    """
-    code = F.row_number().over(Window.partitionBy("feature").orderBy("value")) - 1
-    return category_values(df).select("feature", "value", code.cast("int").alias("code"))
+    """The values of each categorical feature numbered from 0 in sorted order, in ranges of a written table."""
+    return numbered_by_range(category_values(df))
 
 
 def numbered_by_range(values: DataFrame) -> DataFrame:
-    """As the numbering of ``category_map``, in range partitions of a written table.
+    """Numbers of (feature, value) within each feature, in range partitions of a written table.
 
     No task sees more than one range, however many values a feature has.
     """
@@ -118,7 +108,6 @@ class FittedFeatures:
     numeric: dict[str, tuple[float, float, float]]
     categories: DataFrame
     fallback: dict[str, int]
-    small: bool
     feature_names: tuple[str, ...] = tuple(FEATURES)
 
     @property
@@ -133,8 +122,12 @@ class FittedFeatures:
             columns[name] = (F.coalesce(to_number(df, name), F.lit(median)) - F.lit(mean)) / F.lit(std)
         return columns
 
-    def encoded(self, df: DataFrame, key: str = "primaryid") -> DataFrame:
-        """Add ``code_<feature>``; unseen values take the code of UNKNOWN if fitted, else 0."""
+    def encoded(self, df: DataFrame) -> DataFrame:
+        """Add ``code_<feature>``; unseen values take the code of UNKNOWN if fitted, else 0.
+
+        Joins the written codes of one feature after the other; Spark chooses for
+        each by its size, and splits the partitions of hot values.
+        """
         coded = df
         for name in CATEGORICAL_FEATURES:
             fallback = F.lit(self.fallback.get(name, 0))
@@ -144,22 +137,14 @@ class FittedFeatures:
             codes = (self.categories.where(F.col("feature") == name)
                      .select(F.col("value").alias("_value"), F.col("code").alias("_code")))
             coded = coded.withColumn("_value", category_value(name))
-            on = ["_value"]
-            if self.small:
-                codes = F.broadcast(codes)
-            else:
-                # Salted: one value may hold a large share of the rows.
-                codes = codes.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-                coded = coded.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-                on = ["_value", "_salt"]
-            coded = (coded.join(codes, on, "left")
-                     .withColumn(f"code_{name}", F.coalesce("_code", fallback)).drop("_value", "_code", "_salt"))
+            coded = (coded.join(codes, "_value", "left")
+                     .withColumn(f"code_{name}", F.coalesce("_code", fallback)).drop("_value", "_code"))
         return coded
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ("primaryid", "serious")) -> DataFrame:
         """``keep`` columns that exist, then the features as doubles in their fixed order."""
         numbers, flags = self.scaled(df), engineered_flags(df)
-        coded = self.encoded(df, "primaryid" if "primaryid" in df.columns else df.columns[0])
+        coded = self.encoded(df)
         codes = {c: F.col(f"code_{c}") for c in CATEGORICAL_FEATURES}
         features = numbers | codes | flags
         return coded.select(*[c for c in keep if c in df.columns],
@@ -175,12 +160,7 @@ class FittedFeatures:
         names.coalesce(1).write.mode("overwrite").parquet(f"{path}/feature_names")
 
 
-def _known_categories(spark: SparkSession, rows: list) -> tuple[DataFrame, dict[str, int]]:
-    fallback = {feature: 0 for feature, _, _ in rows} | {f: code for f, value, code in rows if value == UNKNOWN}
-    return spark.createDataFrame(rows, CATEGORY_SCHEMA), fallback
-
-
-def _large_fallback(categories: DataFrame) -> dict[str, int]:
+def _fallback(categories: DataFrame) -> dict[str, int]:
     unknown = F.max(F.when(F.col("value") == UNKNOWN, F.col("code")))
     return {r["feature"]: r["code"] for r in
             categories.groupBy("feature").agg(F.coalesce(unknown, F.lit(0)).alias("code")).collect()}
@@ -190,36 +170,17 @@ def _stats(numeric: DataFrame) -> dict[str, tuple[float, float, float]]:
     return {r["feature"]: (r["median"], r["mean"], r["std"]) for r in numeric.collect()}
 
 
-def fit_features(df: DataFrame, broadcast_limit: int = BROADCAST_CATEGORIES) -> FittedFeatures:
+def fit_features(df: DataFrame) -> FittedFeatures:
     """Learn imputation, scaling and category codes from ``df`` (its training rows).
 
-    At most ``broadcast_limit`` + 1 categories come to the driver; where there
-    are more, the codes are made and kept as a table.
+    The codes are a written table; the driver sees one fallback per feature.
     """
-    values = category_values(df)
-    found = [(r["feature"], r["value"]) for r in values.limit(broadcast_limit + 1).collect()]
-    small = len(found) <= broadcast_limit
-    if small:
-        counters = dict.fromkeys(CATEGORICAL_FEATURES, -1)
-        rows = []
-        for feature, value in sorted(found):
-            counters[feature] += 1
-            rows.append((feature, value, counters[feature]))
-        categories, fallback = _known_categories(df.sparkSession, rows)
-    else:
-        categories = materialize(numbered_by_range(values), "category-map")
-        fallback = _large_fallback(categories)
-    return FittedFeatures(_stats(numeric_stats(df)), categories, fallback, small)
-
-
-def load_features(spark: SparkSession, path: str, broadcast_limit: int = BROADCAST_CATEGORIES) -> FittedFeatures:
+    categories = materialize(category_map(df), "category-map")
+    return FittedFeatures(_stats(numeric_stats(df)), categories, _fallback(categories))
+
+
+def load_features(spark: SparkSession, path: str) -> FittedFeatures:
     names = [r["name"] for r in spark.read.parquet(f"{path}/feature_names").orderBy("position").collect()]
     categories = spark.read.schema(CATEGORY_SCHEMA).parquet(f"{path}/category_map")
-    rows = [tuple(r) for r in categories.limit(broadcast_limit + 1).collect()]
-    small = len(rows) <= broadcast_limit
-    if small:
-        categories, fallback = _known_categories(spark, rows)
-    else:
-        fallback = _large_fallback(categories)
     numeric = spark.read.schema(NUMERIC_SCHEMA).parquet(f"{path}/numeric_stats")
-    return FittedFeatures(_stats(numeric), categories, fallback, small, tuple(names))
+    return FittedFeatures(_stats(numeric), categories, _fallback(categories), tuple(names))

@@ -55,14 +55,16 @@ def test_missing_columns(spark):
     assert set(values(fit_features(rows).transform(rows)).values()) == {(0.0,) * 16}
 
 
-def test_many_categories_give_the_same_codes(spark):
+def test_many_categories(spark):
     rows = spark.range(3_000).select(F.col("id").alias("primaryid"), F.concat(F.lit("r"), F.col("id") % 700).alias("route"),
                                      F.when(F.col("id") % 3 == 0, "US").otherwise(F.concat(F.lit("c"), F.col("id"))).alias("occr_country"),
                                      F.when(F.col("id") % 5 > 0, "M").alias("sex"))
-    small, large = fit_features(rows), fit_features(rows, broadcast_limit=100)
-    assert small.small and not large.small and small.fallback == large.fallback
-    assert values(small.transform(rows)) == values(large.transform(rows))
-    assert {tuple(r) for r in large.categories.collect()} == {tuple(r) for r in category_map(rows).collect()}
+    fitted = fit_features(rows)
+    routes = {v: i for i, v in enumerate(sorted({f"r{i % 700}" for i in range(3_000)}))}
+    countries = {v: i for i, v in enumerate(sorted({"US"} | {f"c{i}" for i in range(3_000) if i % 3}))}
+    got = {r["primaryid"]: (r["code_route"], r["code_occr_country"], r["code_sex"]) for r in fitted.encoded(rows).collect()}
+    assert got == {i: (routes[f"r{i % 700}"], countries["US" if i % 3 == 0 else f"c{i}"], 0 if i % 5 else 1) for i in range(3_000)}
+    assert {tuple(r) for r in fitted.categories.collect()} == {tuple(r) for r in category_map(rows).collect()}
 
 
 def test_numbering_by_range(spark):
@@ -71,13 +73,11 @@ def test_numbering_by_range(spark):
     assert codes == {("f", f"v{i:04d}"): i for i in range(900)} | {("g", "only"): 0}
 
 
-@pytest.mark.parametrize("limit", [50_000, 3])
-def test_save_load(spark, two_reports, tmp_path, limit):
+def test_save_load(spark, two_reports, tmp_path):
     fitted = fit_features(two_reports)
     fitted.save(f"{tmp_path}/fitted")
-    loaded = load_features(spark, f"{tmp_path}/fitted", broadcast_limit=limit)
+    loaded = load_features(spark, f"{tmp_path}/fitted")
     assert loaded.n_features == fitted.n_features and loaded.numeric == fitted.numeric
-    assert loaded.small == (limit > 3)
     assert values(loaded.transform(two_reports)) == values(fitted.transform(two_reports))
 
 

@@ -12,7 +12,7 @@ from caseloom.config import FEATURES, FusionSettings, TreeSettings
 from caseloom.operators import attribution, boosting, fusion, tokeninfluence
 from caseloom.operators.features import fit_features, with_narrative
 from caseloom.operators.splits import stratified_folds
-from caseloom.plans.training import load_models, train
+from caseloom.plans.training import combined, frequencies, load_models, train
 from caseloom.session import materialize
 from caseloom.sources.requests import REQUEST_SCHEMA, read_request_stream
 from caseloom.sources.synthetic import demo_cases
@@ -125,7 +125,7 @@ def test_shapley_forms(spark, trees, table):
 
 
 def test_embedding(cases):
-    rows = fusion.with_tokens(with_narrative(cases), FUSION)
+    rows = fusion.with_tokens(with_narrative(cases))
     vectors = [r["embedding"].toArray() for r in fusion.embed(fusion.fit_embedding(rows, FUSION), rows).limit(20).collect()]
     assert {len(v) for v in vectors} == {128}
     assert all(np.linalg.norm(v) == pytest.approx(1) for v in vectors)
@@ -147,7 +147,8 @@ def test_best_candidate_is_kept(models):
 
 def test_saved_models_score_alike(spark, models, cases, tmp_path):
     models[0].save(str(tmp_path / "models"))
-    loaded = load_models(spark, str(tmp_path / "models"), FUSION)
+    loaded = load_models(spark, str(tmp_path / "models"))
+    assert loaded.settings == FUSION
     before, after = (m.score(cases).orderBy("primaryid").collect() for m in (models[0], loaded))
     assert before == after
 
@@ -175,11 +176,50 @@ def test_ablation_names_the_models(cases):
 
 def test_tokens_that_raise_the_risk(cases):
     rows = materialize(fusion.with_tokens(with_narrative(cases)).select("primaryid", "serious", "tokens"), "tokens")
-    weights = tokeninfluence.fit_token_weights(rows, iterations=20)
-    by_token = {r["token"]: r["weight"] for r in weights.collect()}
-    assert by_token["bleeding"] > 0 and by_token["anaphylaxis"] > 0
-    ranked = tokeninfluence.token_influence(rows, weights)
-    row = rows.where(F.array_contains("tokens", "bleeding")).orderBy("primaryid").first()
-    mine = ranked.where(F.col("primaryid") == row["primaryid"]).orderBy("place").collect()
-    assert {r["token"] for r in mine} == set(row["tokens"])
-    assert [r["importance"] for r in mine] == sorted((r["importance"] for r in mine), reverse=True)
+    embedding = fusion.fit_embedding(rows)
+    embedded = materialize(fusion.embed(embedding, rows), "embedded")
+    text = fusion.fit_text_only(embedded)
+    ranked = tokeninfluence.token_influence(embedded, embedding, text).collect()
+    mean = {t: np.mean([r["importance"] for r in ranked if r["token"] == t]) for t in ("bleeding", "anaphylaxis")}
+    assert mean["bleeding"] > 0 and mean["anaphylaxis"] > 0
+    weights = text.stages[-1].coefficients.toArray()
+    for row in embedded.orderBy("primaryid").limit(20).collect():
+        mine = sorted((r for r in ranked if r["primaryid"] == row["primaryid"]), key=lambda r: r["place"])
+        assert {r["token"] for r in mine} == set(row["tokens"])
+        assert [r["importance"] for r in mine] == sorted((r["importance"] for r in mine), reverse=True)
+        assert sum(r["importance"] for r in mine) == pytest.approx(float(row["embedding"].toArray() @ weights), abs=1e-3)
+
+
+def test_words_without_a_weight(spark, cases):
+    """Unseen words are null and last, and every word of a long text takes part."""
+    rows = fusion.with_tokens(with_narrative(cases)).select("primaryid", "serious", "tokens")
+    embedding = fusion.fit_embedding(rows)
+    text = fusion.fit_text_only(materialize(fusion.embed(embedding, rows), "embedded"))
+    long = spark.createDataFrame([(1, ["bleeding"] + ["oral"] * 500 + ["zzzunseen", "rash"])], "primaryid long, tokens array<string>")
+    got = {r["token"]: r for r in tokeninfluence.token_influence(long, embedding, text).collect()}
+    assert got["zzzunseen"]["importance"] is None and got["zzzunseen"]["place"] == 4 and got["rash"]["importance"] is not None
+
+
+def test_word2vec_option(cases):
+    settings = FusionSettings(embedding="word2vec")
+    rows = fusion.with_tokens(with_narrative(cases)).limit(200)
+    assert len(fusion.embed(fusion.fit_embedding(rows, settings), rows).first()["embedding"]) == 128
+
+
+def test_rare_words_do_not_share_weights(spark):
+    """With many thousands of words no weight falls to zero."""
+    rows = spark.range(400).select(F.transform(F.sequence(F.lit(0), F.lit(120)), lambda i: F.concat(F.lit("w"), F.col("id") * 97 + i)).alias("tokens"))
+    rarity = fusion.fit_embedding(rows).rarity
+    assert np.nanmin(rarity) > 1
+
+
+def test_combined_table(cases):
+    table = combined(fit_features(cases), cases)
+    assert table.columns == ["primaryid", "narrative", "serious", *FEATURES] and table.count() == 1_500
+
+
+def test_expanded_frequencies(spark, cases):
+    worded = frequencies(cases, True)
+    assert {r[0] for r in worded.select("dose_freq").distinct().collect()} == {
+        "once daily", "twice daily", "three times daily", "four times daily", "as needed"}
+    assert frequencies(cases, False) is cases
