@@ -162,6 +162,18 @@ def assemble(tables: CaseTables, quarters: Sequence[str] = QUARTERS, one_per_cas
     return cases
 
 
+def preview_cases(tables: CaseTables, n: int = 5, quarters: Sequence[str] = QUARTERS) -> DataFrame:
+    """The first n cases by key, assembled. Keys are taken first, so the tables are cut to n cases before the roll-ups."""
+    demo = keep_first(tables.demo, quarters).orderBy("primaryid").limit(n)
+    # n rows.
+    keys = F.broadcast(demo.select(*CASE))
+
+    def cut(table: DataFrame | None) -> DataFrame | None:
+        return table.join(keys, CASE, "left_semi") if usable(table) else table
+
+    return assemble(CaseTables(demo, cut(tables.drug), cut(tables.reac), cut(tables.outc), tables.labelled), quarters)
+
+
 def union_quarters(parts: Sequence[DataFrame]) -> DataFrame:
     """Rows of all quarters by column name; columns a quarter lacks are null."""
     combined = parts[0]

