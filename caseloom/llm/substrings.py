@@ -38,7 +38,7 @@ WINDOW, ANCHOR = 20, 5
 # A shard is closed when it has as many words.
 SHARD_WORDS = 500_000
 # Segments of one anchor that go into one shard.
-ANCHOR_SEGMENTS = 8_192
+ANCHOR_SEGMENTS = 1_024
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
