@@ -93,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_substring_dedup": substrings.remove_repeats_sql(),
         "op7_url_filter": hosts.judge_sql(URL_RULES),
         "op8_hamming_topk": hamming.search_sql(),
     }

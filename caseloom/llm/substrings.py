@@ -315,3 +315,18 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     without = F.lit(None).cast("array<struct<start:int,n:int>>").alias("runs")
     return (named.join(runs, "doc_id", "left").unionByName(texts.where("doc_id is null").select("*", without))
             .mapInArrow(finish, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string"))
+
+
+def remove_repeats_sql() -> str:
+    """Counts and digests of ``remove_repeats`` for the table documents, window by window."""
+    return rf"""
+    WITH split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    windows AS (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') AS words
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM split WHERE len(ws) >= {WINDOW})),
+    repeats AS (SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY words ORDER BY doc_id, i) > 1),
+    covered AS (SELECT DISTINCT doc_id, i + j AS place FROM repeats CROSS JOIN (SELECT unnest(range({WINDOW})) AS j)),
+    each AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS place FROM split)
+    SELECT s.doc_id, any_value(len(ws))::BIGINT AS n_words, count(c.place)::BIGINT AS n_removed,
+      sha256(coalesce(string_agg(word, ' ' ORDER BY e.place) FILTER (WHERE c.place IS NULL), '')) AS kept_sha256
+    FROM split s LEFT JOIN each e USING (doc_id) LEFT JOIN covered c ON c.doc_id = e.doc_id AND c.place = e.place
+    GROUP BY s.doc_id"""
