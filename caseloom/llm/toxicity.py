@@ -38,7 +38,7 @@ PAD = b"\n" * 16
 MARKS = ".,;:!?\"'()"
 # Gains a document's windows are counted by.
 GAINS = range(2, 9)
-MEMORY_WORDS = 400_000
+MEMORY_WORDS = 250_000
 THRESHOLD = 0.5
 
 
