@@ -408,7 +408,9 @@ def top_drugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def drug_risk_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     flags = cases.serious_flag(proxies.outc(spark, sf_dir))
-    taken = proxies.drug(spark, sf_dir).join(flags, cases.CASE, "left").withColumn("serious", F.coalesce("serious", F.lit(0)))
+    # A drug counts once per case.
+    taken = proxies.drug(spark, sf_dir).select(*cases.CASE, "drugname").distinct()
+    taken = taken.join(flags, cases.CASE, "left").withColumn("serious", F.coalesce("serious", F.lit(0)))
     return _rounded(statistics.top_rates(taken, "drugname"), "serious_rate")
 
 

@@ -365,7 +365,8 @@ where value < q1 - (q3 - q1) * 1.5e0 or value > q3 + (q3 - q1) * 1.5e0
 group by event_type, value""",
         "top_drugs": with_cases("select drugname, count(*) as n from drug group by drugname order by n desc, drugname limit 10"),
         "drug_risk_top10": with_cases(
-            "select drugname, count(*) as n, round(avg(coalesce(serious, 0)), 6) as serious_rate from drug left join flags using (primaryid) "
+            "select drugname, count(*) as n, round(avg(coalesce(serious, 0)), 6) as serious_rate "
+            "from (select distinct primaryid, drugname from drug) left join flags using (primaryid) "
             "group by drugname order by avg(coalesce(serious, 0)) desc, drugname limit 10"),
         "age_band_risk": with_cases(
             "select case when age > 0 and age <= 18 then '<18' when age > 18 and age <= 40 then '18-40' "
