@@ -129,10 +129,15 @@ def mix(docs: DataFrame, weights: Mapping[str | None, int] | None = None, source
     return placed.select(*docs.columns, "position", F.col("_mix_weight").alias("weight"), "block")
 
 
-def mixed_order(docs: DataFrame, weights: Mapping[str | None, int] | None = None) -> DataFrame:
-    """``docs``, all rows and columns, laid out in the order of the mixture: written, its files follow each other."""
+def placed(docs: DataFrame, weights: Mapping[str | None, int] | None = None, position: str = "position") -> DataFrame:
+    """``docs``, all rows and columns, with their place in the mixture as ``position``, a name that ``docs`` does not use."""
     own = docs.columns
     # Columns of the table that clash with the added ones come back under their own names.
     clash = {c: f"_own_{c}" for c in own if c in ("position", "weight", "block")}
-    placed = mix(docs.withColumnsRenamed(clash), weights)
-    return placed.orderBy("position").select(*[F.col(clash.get(c, c)).alias(c) for c in own])
+    mixture = mix(docs.withColumnsRenamed(clash), weights)
+    return mixture.select(*[F.col(clash.get(c, c)).alias(c) for c in own], mixture["position"].alias(position))
+
+
+def mixed_order(docs: DataFrame, weights: Mapping[str | None, int] | None = None) -> DataFrame:
+    """``docs``, all rows and columns, laid out in the order of the mixture: written, its files follow each other."""
+    return placed(docs, weights, "_mix_position").orderBy("_mix_position").drop("_mix_position")

@@ -33,6 +33,8 @@ from caseloom.session import materialize
 CAPACITY = 2048
 # Id put after every document.
 END = 0
+# Positions of an order that are ranked in one group.
+ORDER_ROWS = 4096
 # Words whose ids a worker remembers, and the longest it remembers.
 MEMORY_WORDS, MEMORY_BYTES = 500_000, 48
 # Words that normalisation only puts in lower case and that hold one run of letters.
@@ -104,13 +106,15 @@ def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
 
 
-def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False,
+        order: str | None = None) -> DataFrame:
     """Pieces of at most ``capacity`` ids: doc_id, piece, start, length, ids_crc32, and ids if asked for.
 
-    ``task`` and ``place`` say which piece of its length it is in the task that cut it.
+    ``task`` and ``place`` say which piece of its length it is in the task that
+    cut it. ``order`` names a whole number of ``docs`` that its pieces keep as ``position``.
     """
     end = np.array([END], "<u4").tobytes()
-    names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"] + ["ids"] * with_ids
+    names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place"] + ["position"] * (order is not None) + ["ids"] * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, task = word_tokens(tokenizer_path), TaskContext.get().partitionId()
@@ -119,23 +123,25 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids
             # Few texts at a time: ids of a text are up to four times its size.
             for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
                 doc_ids = batch.column("doc_id").to_pylist()
+                positions = [()] * len(doc_ids) if order is None else [(p,) for p in batch.column("position").to_pylist()]
                 rows: list[tuple] = []
-                for doc_id, ids in zip(doc_ids, tokens.ids(utf8(batch.column("text")))):
+                for doc_id, position, ids in zip(doc_ids, positions, tokens.ids(utf8(batch.column("text")))):
                     ids += end
                     for piece, start in enumerate(range(0, len(ids) // 4, capacity)):
                         own = ids[4 * start:4 * (start + capacity)]
                         length = len(own) // 4
-                        row = (doc_id, piece, start, length, zlib.crc32(own), task, int(places[length]))
+                        row = (doc_id, piece, start, length, zlib.crc32(own), task, int(places[length]), *position)
                         places[length] += 1
                         rows.append(row + ((np.frombuffer(own, "<u4").astype(np.int32),) if with_ids else ()))
                 columns = list(zip(*rows)) or [()] * len(names)
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(),
-                         pa.list_(pa.int32())]
+                         *[pa.int64()] * (order is not None), pa.list_(pa.int32())]
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, task int, place bigint"
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        run, schema + ", ids array<int>" * with_ids)
+    position = [] if order is None else [F.col(order).cast("bigint").alias("position")]
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *position).mapInArrow(
+        run, schema + ", position bigint" * (order is not None) + ", ids array<int>" * with_ids)
 
 
 # A kind of sequence: runs of (length, times) in order, and how many such sequences there are.
@@ -222,16 +228,48 @@ def _slots(kinds: list[Kind]) -> dict[int, list[tuple[int, int, int, int]]]:
     return slots
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def _ranked_in_order(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with their ``rank`` among those of their length, by position and piece."""
+    # Ranks inside runs of positions, added to the sizes of the runs before: no window over a whole length.
+    runs = pieces.withColumn("run", F.floor(F.col("position") / F.lit(ORDER_ROWS)))
+    sizes = runs.groupBy("length", "run").agg(F.count("*").alias("n"))
+    # One row per length and run.
+    before = Window.partitionBy("length").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("length", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("length", "run").orderBy("position", "piece")
+    return (runs.withColumn("place", F.row_number().over(inside) - 1).join(offsets, ["length", "run"])
+            .withColumn("rank", F.col("before") + F.col("place")))
+
+
+def _numbered_in_order(placed: DataFrame) -> DataFrame:
+    """``placed`` with ``sequence_id`` numbered by the first (position, piece) of each sequence."""
+    firsts = (placed.groupBy("sequence_id").agg(F.min(F.struct("position", "piece")).alias("first"))
+              .withColumn("run", F.floor(F.col("first.position") / F.lit(ORDER_ROWS))))
+    # One row per run of positions.
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = firsts.groupBy("run").agg(F.count("*").alias("n")).select(
+        "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    inside = Window.partitionBy("run").orderBy("first")
+    numbers = (firsts.withColumn("place", F.row_number().over(inside) - 1).join(offsets, "run")
+               .select("sequence_id", (F.col("before") + F.col("place")).alias("number")))
+    return placed.join(numbers, "sequence_id").withColumn("sequence_id", F.col("number"))
+
+
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False,
+         order: str | None = None) -> DataFrame:
     """Pieces of all documents with their ``sequence_id`` and ``offset``, and their ids if asked for.
 
     A document is the ids of its text and ``END``; only longer ones than the
     capacity are cut. Null text is empty, a piece of one id. doc_id is passed on
     as it is, null or repeated too. Only doc_id and text are read. An empty
     table gives no rows.
+
+    ``order`` names a column of distinct whole numbers from 0: pieces of one
+    length take their places by it, and sequences are numbered by the smallest
+    they hold. Which lengths meet does not depend on it.
     """
     spark = docs.sparkSession
-    pieces = materialize(cut(docs, tokenizer_path, capacity, with_ids), "pieces")
+    pieces = materialize(cut(docs, tokenizer_path, capacity, with_ids, order), "pieces")
     by_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     # One row per task and length.
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -241,13 +279,15 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_id
     slots = spark.createDataFrame(
         list(_slots(kinds_of(counts, capacity)).items()),
         "length bigint, slots array<struct<rank: bigint, n: bigint, first: bigint, offset: bigint>>")
+    ranked = _ranked_in_order(pieces) if order is not None else (
+        pieces.join(offsets, ["task", "length"]).withColumn("rank", F.col("before") + F.col("place")))
     # Bounded by the capacity, so the table may be broadcast.
-    ranked = (pieces.join(offsets, ["task", "length"]).join(F.broadcast(slots), "length")
-              .withColumn("rank", F.col("before") + F.col("place"))
+    placed = (ranked.join(F.broadcast(slots), "length")
               .withColumn("slot", F.element_at(F.filter("slots", lambda s: s["rank"] <= F.col("rank")), -1))
-              .withColumn("beyond", F.col("rank") - F.col("slot.rank")))
-    return ranked.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.col("slot.first") + F.col("beyond") % F.col("slot.n")).alias("sequence_id"),
-        (F.col("slot.offset") + F.floor(F.col("beyond") / F.col("slot.n")) * F.col("length")).alias("offset"),
-        *(["ids"] if with_ids else []))
+              .withColumn("beyond", F.col("rank") - F.col("slot.rank"))
+              .withColumn("sequence_id", F.col("slot.first") + F.col("beyond") % F.col("slot.n"))
+              .withColumn("offset", F.col("slot.offset") + F.floor(F.col("beyond") / F.col("slot.n")) * F.col("length")))
+    if order is not None:
+        placed = _numbered_in_order(placed)
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset",
+                         *(["ids"] if with_ids else []))
