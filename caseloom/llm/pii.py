@@ -1,7 +1,7 @@
 """Personal data replaced by surrogates.
 
 Found are e-mail addresses, telephone, card (with a valid check digit), bank
-account and social security numbers, IP addresses, and names after a title or a
+account and social security numbers, IP addresses of both versions, and names after a title or a
 known given name. Every distinct entity of the corpus gets one surrogate, drawn
 from a keyed hash: the same entity is the same surrogate wherever and however it
 is written, so mentions stay linked. A surrogate has the type of its original:
@@ -31,12 +31,22 @@ KEY = b"caseloom surrogates"
 
 EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
-CARD = re.compile(r"(?<![\w.+-])\d(?:[ -]?\d){12,18}(?!\w)")
+# A row of number groups; ``cards_in`` says which of them are a card.
+DIGITS = re.compile(r"(?<![\w.+-])\d++(?:[ -]\d++)*+")
 IP = re.compile(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
-# Not a part of a longer row of number groups.
-PHONE = re.compile(r"(?<![\w.+-])(?<!\d )(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w-]| \d)"
-                   r"|(?<![\w.+-])\+\d{7,15}(?!\w)")
+IP6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]|\.\d)")
+# With a country code or brackets a number is a phone beside any other; without, not as a part of a row of number groups.
+PHONE = re.compile(
+    r"(?<![\w.+-])(?:"
+    r"(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?(?:\d{3,4}[ .-]?\d{3,4}|\d{2}(?:[ .-]\d{2}){3})(?![\w-])"
+    r"|\+\d{1,3}[ .-]?\(0\)[ .-]?\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}(?![\w-])"
+    r"|\+\d{1,3}[ .-](?:\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}|\d{1,3}(?:[ .-]\d{2}){3,4}|\d{2,5}[ .-]\d{4,9}|\d{6,12})(?![\w-])"
+    r"|\+\d{7,15}(?!\w)"
+    r"|(?<!\d )(?:\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}|0\d(?:[ .-]\d{2}){4})(?![\w-]| \d))")
+# Country codes of one and two digits; all others have three.
+_SHORT_CODES = {"1", "7", *"20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 "
+                "90 91 92 93 94 95 98".split()}
 
 # Titles by the gender they tell.
 TITLES = {"m": ["Mr", "Herr", "Señor", "Monsieur", "Господин"], "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Madame", "Госпожа"],
@@ -89,6 +99,26 @@ def iban_check(country: str, account: str) -> str:
     return f"{98 - int(number) % 97:02d}"
 
 
+def cards_in(text: str) -> Iterator[tuple[int, int]]:
+    """Places of whole number groups of 13 to 19 digits with a valid check digit, the longest first."""
+    for row in DIGITS.finditer(text):
+        groups = [(row.start() + m.start(), row.start() + m.end()) for m in re.finditer(r"\d+", row[0])]
+        if row.end() < len(text) and (text[row.end()].isalnum() or text[row.end()] == "_"):
+            groups.pop()
+        first = 0
+        while first < len(groups):
+            start, after = groups[first][0], first + 1
+            # A group after a hyphen goes on with what is before it.
+            if first == 0 or text[start - 1] == " ":
+                for last in range(min(len(groups), first + 19), first, -1):
+                    digits = re.sub(r"\D", "", text[start:groups[last - 1][1]])
+                    if 13 <= len(digits) <= 19 and luhn_digit(digits[:-1]) == digits[-1]:
+                        yield start, groups[last - 1][1]
+                        after = last
+                        break
+            first = after
+
+
 def script_of(word: str) -> str:
     first = ord(word[0])
     return "cyrillic" if 0x400 <= first < 0x530 else "greek" if 0x370 <= first < 0x400 else "latin"
@@ -119,10 +149,16 @@ def find(text: str) -> list[Found]:
             plain = m[0].replace(" ", "")
             if plain[2:4] == iban_check(plain[:2], plain[4:]):
                 add(*m.span(), "iban", plain)
-        for m in CARD.finditer(text):
-            digits = re.sub(r"\D", "", m[0])
-            if luhn_digit(digits[:-1]) == digits[-1]:
-                add(*m.span(), "card", digits)
+        for start, end in cards_in(text):
+            add(start, end, "card", re.sub(r"\D", "", text[start:end]))
+        if text.count(":") > 1:
+            for m in IP6.finditer(text):
+                # Short ones, as in a::b, and those without digits are rather code.
+                if sum(c != ":" for c in m[0]) >= 5 and re.search("[0-9]", m[0]):
+                    try:
+                        add(*m.span(), "ip6", str(ipaddress.IPv6Address(m[0])))
+                    except ValueError:
+                        pass
         for m in IP.finditer(text):
             if all(int(octet) < 256 for octet in m[0].split(".")):
                 add(*m.span(), "ip", ".".join(str(int(octet)) for octet in m[0].split(".")))
@@ -173,7 +209,9 @@ def surrogate(kind: str, entity: str, attempt: int, key: bytes = KEY) -> str:
         return alike(local) + "@" + surrogate("email", "@" + domain, -1, key) if local else alike(host) + dot + top
     if kind == "phone":
         plus, digits = ("+" if entity[0] == "+" else ""), entity.lstrip("+")
-        country = max(0, len(digits) - 10) if plus else 0
+        # The code by its length and by the table of codes, whichever is longer, so that it stays.
+        code = next((n for n in (1, 2) if digits[:n] in _SHORT_CODES), 3)
+        country = max(len(digits) - 10, code) if plus else 0
         return plus + digits[:country] + str(2 + draw(8)) + alike(digits[country + 1:])
     if kind == "card":
         body = entity[0] + alike(entity[1:-1])
@@ -192,6 +230,11 @@ def surrogate(kind: str, entity: str, attempt: int, key: bytes = KEY) -> str:
             if ipaddress.ip_address(drawn).is_private == ipaddress.ip_address(entity).is_private:
                 return drawn
             stream = int.from_bytes(hashlib.blake2b(drawn.encode(), key=key[:64]).digest(), "big")
+    if kind == "ip6":
+        # The first group tells the scope; groups of zeros stay until many addresses have clashed.
+        groups = ipaddress.IPv6Address(entity).exploded.split(":")
+        kept = [g if i == 0 or (int(g, 16) == 0 and attempt < 8) else f"{1 + draw(65535):x}" for i, g in enumerate(groups)]
+        return str(ipaddress.IPv6Address(":".join(kept)))
     _, part, script, gender = kind.split()
     syllables = 2 + attempt // 4 if part == "surname" else 1 + attempt // 4
     body = "".join(_ONSETS[script][draw(len(_ONSETS[script]))] + _VOWELS[script][draw(len(_VOWELS[script]))]
@@ -207,7 +250,7 @@ def rendered(drawn: str, mention: str, kind: str) -> str:
         return "".join(next(signs) if c.isalnum() else c for c in mention)
     if mention.isupper() and len(mention) > 1 and any(c.isalpha() for c in mention):
         return drawn.upper()
-    return drawn.title() if mention[0].isupper() and kind != "email" else drawn
+    return drawn.title() if mention[0].isupper() and kind not in ("email", "ip6") else drawn
 
 
 def replaced(text: str, entities: list[dict]) -> str:
