@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caseloom.llm import hamming, hosts, mixing, packing, pii, secret_scan, simhash, sketches, substrings, toxicity
+from caseloom.llm import (fill_in_middle, hamming, hosts, mixing, packing, pii, resampling, secret_scan, simhash, sketches,
+                          substrings, toxicity, window_packing)
 from caseloom.llm.common import table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -76,6 +77,23 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", "source", "position", "weight", "block"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Infilling form of every document, with digests of its layout and of the text rebuilt from it."""
+    rows = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fill_in_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight, score and rank of every document, drawn towards the texts of ``benchmark``."""
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of every document in full sequences of 2048 ids."""
+    return window_packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash": op1_simhash,
@@ -88,6 +106,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hamming_topk": op8_hamming_topk,
         "op9_packing": op9_packing,
         "op10_mixing": op10_mixing,
+        "op11_fill_in_middle": op11_fill_in_middle,
+        "op12_resampling": op12_resampling,
+        "op13_window_packing": op13_window_packing,
     }
 
 
@@ -96,4 +117,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_substring_dedup": substrings.remove_repeats_sql(),
         "op7_url_filter": hosts.judge_sql(URL_RULES),
         "op8_hamming_topk": hamming.search_sql(),
+        "op11_fill_in_middle": fill_in_middle.transform_sql(),
+        "op12_resampling": resampling.resample_sql(),
     }

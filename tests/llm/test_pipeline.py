@@ -62,4 +62,4 @@ def test_sql(spark, name):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} == {k.split("_")[0] for k in entry.queries() if k.startswith("op") or k == "pipeline"}
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} == {k.split("_")[0] for k in entry.queries() if k.startswith("op") or k == "pipeline"}
