@@ -8,7 +8,8 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 SEED = 42
 
@@ -17,6 +18,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, or with underscores behind it, so that no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """A text column as UTF-8 bytes; null counts as empty."""
     return [value or b"" for value in column.cast(pa.binary()).to_pylist()]
@@ -56,3 +65,20 @@ def per_batch(work: Callable[[pa.RecordBatch], pa.RecordBatch]) -> Callable[[Ite
         for batch in batches:
             yield work(batch)
     return run
+
+
+def sums_before(sizes: DataFrame, order: str, size: str, by: list[str] | None = None, block: int = 4096) -> DataFrame:
+    """``by``, ``order`` and ``before``, the sum of ``size`` over rows earlier in ``order``, a whole number from 0.
+
+    ``sizes`` has one row per (by, order). Sums go in two steps, over blocks of
+    ``block`` numbers and inside each, so that no window holds more than the
+    blocks of one group.
+    """
+    by = by or []
+    rows = sizes.select(*by, order, size).withColumn("_block", F.floor(F.col(order) / F.lit(block)))
+    earlier = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (rows.groupBy(*by, "_block").agg(F.sum(size).alias("_size"))
+              .select(*by, "_block", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_upto")))
+    inside = Window.partitionBy(*by, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return (rows.withColumn("_in", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(blocks, [*by, "_block"])
+            .select(*by, order, (F.col("_upto") + F.col("_in")).alias("before")))

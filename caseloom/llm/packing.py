@@ -13,13 +13,9 @@ as can be. Shorter pieces then go, longest first, into the tightest gap left.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Mapping
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import utf8
+from caseloom.llm.common import sums_before, utf8
+from caseloom.llm.word_tokens import word_tokens
 from caseloom.session import materialize
 
 CAPACITY = 2048
@@ -35,75 +32,6 @@ CAPACITY = 2048
 END = 0
 # Positions of an order that are ranked in one group.
 ORDER_ROWS = 4096
-# Words whose ids a worker remembers, and the longest it remembers.
-MEMORY_WORDS, MEMORY_BYTES = 500_000, 48
-# Words that normalisation only puts in lower case and that hold one run of letters.
-_PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,]?)")
-
-
-class WordTokens:
-    """Ids of texts, word by word.
-
-    The tokenizer drops white space and never joins across it, so a text's ids
-    are those of its words in turn, and frequent words are looked up. A new word
-    of plain letters goes straight to the tokenizer's merges; any other takes
-    the tokenizer's whole way.
-    """
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
-
-        self.tokenizer = Tokenizer.from_file(path)
-        level = ByteLevel(add_prefix_space=False, use_regex=False)
-        letters = [chr(c) for c in range(ord("ß"), 256) if c != 0xF7]
-        self.bytes_as_letters = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in letters})
-        self.merges = self.tokenizer.model.tokenize
-        self.known: dict[bytes, bytes] = {}
-        self.marks = {mark: self._whole(mark) if mark else b"" for mark in ("", ".", ",")}
-
-    def _whole(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        plain = _PLAIN.fullmatch(text.lower())
-        if plain is None or len(plain[0]) != len(text):
-            return self._whole(text)
-        letters, mark = plain.groups()
-        if mark or letters != text:
-            # The bare word may be known already; its marks never are part of its ids.
-            bare = letters.encode()
-            if bare not in self.known:
-                self.known[bare] = self._merged(letters)
-            return self.known[bare] + self.marks[mark]
-        return self._merged(letters)
-
-    def _merged(self, letters: str) -> bytes:
-        if not letters.isascii():
-            letters = letters.translate(self.bytes_as_letters)
-        return array("I", [token.id for token in self.merges(letters)]).tobytes()
-
-    def ids(self, texts: list[bytes]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [text.split() for text in texts]
-        if len(self.known) > MEMORY_WORDS:
-            self.known = {}
-        known = self.known
-        fresh = list(set().union(*split).difference(known))
-        known.update(zip(fresh, map(self._word, fresh)))
-        found = [b"".join(map(known.__getitem__, words)) for words in split]
-        for word in fresh:
-            if len(word) > MEMORY_BYTES:
-                del known[word]
-        return found
-
-
-@cache
-def word_tokens(path: str) -> WordTokens:
-    """One per worker process: reading the file takes longer than many texts."""
-    return WordTokens(path)
 
 
 def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, with_ids: bool = False,
@@ -232,10 +160,7 @@ def _ranked_in_order(pieces: DataFrame) -> DataFrame:
     """``pieces`` with their ``rank`` among those of their length, by position and piece."""
     # Ranks inside runs of positions, added to the sizes of the runs before: no window over a whole length.
     runs = pieces.withColumn("run", F.floor(F.col("position") / F.lit(ORDER_ROWS)))
-    sizes = runs.groupBy("length", "run").agg(F.count("*").alias("n"))
-    # One row per length and run.
-    before = Window.partitionBy("length").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("length", "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    offsets = sums_before(runs.groupBy("length", "run").agg(F.count("*").alias("n")), "run", "n", ["length"])
     inside = Window.partitionBy("length", "run").orderBy("position", "piece")
     return (runs.withColumn("place", F.row_number().over(inside) - 1).join(offsets, ["length", "run"])
             .withColumn("rank", F.col("before") + F.col("place")))
@@ -245,10 +170,7 @@ def _numbered_in_order(placed: DataFrame) -> DataFrame:
     """``placed`` with ``sequence_id`` numbered by the first (position, piece) of each sequence."""
     firsts = (placed.groupBy("sequence_id").agg(F.min(F.struct("position", "piece")).alias("first"))
               .withColumn("run", F.floor(F.col("first.position") / F.lit(ORDER_ROWS))))
-    # One row per run of positions.
-    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = firsts.groupBy("run").agg(F.count("*").alias("n")).select(
-        "run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    offsets = sums_before(firsts.groupBy("run").agg(F.count("*").alias("n")), "run", "n")
     inside = Window.partitionBy("run").orderBy("first")
     numbers = (firsts.withColumn("place", F.row_number().over(inside) - 1).join(offsets, "run")
                .select("sequence_id", (F.col("before") + F.col("place")).alias("number")))

@@ -11,7 +11,12 @@ case.
 
 Collision checks work on the table of distinct entities: a surrogate must be no
 entity of the corpus, and no two entities may have the same one. Who loses draws
-again, until nothing clashes.
+again, until nothing clashes. Draws widen with their number: every ``WIDER``
+attempts a number gets one more digit, a name or an address one more syllable or
+letter, and an IP address first leaves its block, then its scope, then gets one
+more octet. So the space of a draw grows without bound, outgrows any number of
+entities after a logarithmic number of attempts, and from then on half of the
+entities still open or more find a free surrogate in each.
 """
 
 from __future__ import annotations
@@ -19,15 +24,19 @@ from __future__ import annotations
 import hashlib
 import ipaddress
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caseloom.llm.common import free_name
 from caseloom.session import materialize, remove_table
 
 KEY = b"caseloom surrogates"
+# Attempts after which the space of draws grows.
+WIDER = 8
 
 EMAIL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
@@ -134,12 +143,11 @@ def _name_kind(part: str, word: str, gender: str) -> str:
 def find(text: str) -> list[Found]:
     """Entities of a text by place, none overlapping another."""
     found: list[Found] = []
-    taken: list[tuple[int, int]] = []
 
     def add(start: int, end: int, kind: str, entity: str) -> None:
-        if all(end <= a or b <= start for a, b in taken):
-            taken.append((start, end))
-            found.append((start, end, kind, entity))
+        at = bisect_left(found, (start,))
+        if (at == 0 or found[at - 1][1] <= start) and (at == len(found) or end <= found[at][0]):
+            found.insert(at, (start, end, kind, entity))
 
     if "@" in text:
         for m in EMAIL.finditer(text):
@@ -184,7 +192,7 @@ def find(text: str) -> list[Found]:
         parts |= {name.upper(): kind for name, kind in parts.items()}
         for m in re.finditer(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(parts, key=len, reverse=True)))})(?!\w)", text):
             add(*m.span(), parts[m[0]], m[0].lower())
-    return sorted(found)
+    return found
 
 
 def surrogate(kind: str, entity: str, attempt: int, key: bytes = KEY) -> str:
@@ -197,6 +205,9 @@ def surrogate(kind: str, entity: str, attempt: int, key: bytes = KEY) -> str:
         stream, value = divmod(stream, n)
         return value
 
+    # Signs beyond those of the original.
+    more = attempt // WIDER
+
     def alike(text: str) -> str:
         return "".join(str(draw(10)) if c.isdigit() else chr(97 + draw(26)) if c.isascii() and c.isalpha() else c for c in text)
 
@@ -206,25 +217,32 @@ def surrogate(kind: str, entity: str, attempt: int, key: bytes = KEY) -> str:
         host, dot, top = domain.rpartition(".")
         if attempt < 0:
             return alike(host) + dot + top
-        return alike(local) + "@" + surrogate("email", "@" + domain, -1, key) if local else alike(host) + dot + top
+        return alike(local + "x" * more) + "@" + surrogate("email", "@" + domain, -1, key) if local else alike(host) + dot + top
     if kind == "phone":
         plus, digits = ("+" if entity[0] == "+" else ""), entity.lstrip("+")
         # The code by its length and by the table of codes, whichever is longer, so that it stays.
         code = next((n for n in (1, 2) if digits[:n] in _SHORT_CODES), 3)
         country = max(len(digits) - 10, code) if plus else 0
-        return plus + digits[:country] + str(2 + draw(8)) + alike(digits[country + 1:])
+        return plus + digits[:country] + str(2 + draw(8)) + alike(digits[country + 1:] + "0" * more)
     if kind == "card":
-        body = entity[0] + alike(entity[1:-1])
+        body = entity[0] + alike(entity[1:-1] + "0" * more)
         return body + luhn_digit(body)
     if kind == "ssn":
-        return f"{1 + draw(665):03d}{1 + draw(99):02d}{1 + draw(9999):04d}"
+        return f"{1 + draw(665):03d}{1 + draw(99):02d}{1 + draw(9999):04d}" + alike("0" * more)
     if kind == "iban":
-        account = "".join(str(draw(10)) if c.isdigit() else chr(65 + draw(26)) for c in entity[4:])
+        account = "".join(str(draw(10)) if c.isdigit() else chr(65 + draw(26)) for c in entity[4:] + "0" * more)
         return entity[:2] + iban_check(entity[:2], account) + account
     if kind == "ip":
         octets = entity.split(".")
         kept = 1 if octets[0] in ("10", "127") else 2 if octets[:2] == ["192", "168"] or (
             octets[0] == "172" and 16 <= int(octets[1]) < 32) else 0
+        if more >= 3:
+            return ".".join(str(draw(256)) for _ in range(more + 2))
+        if more == 2:
+            return ".".join(str(draw(256)) for _ in range(4))
+        if more == 1 and kept:
+            # The widest private block.
+            octets, kept = ["10"], 1
         while True:
             drawn = ".".join(octets[:kept] + [str(1 + draw(223) if i == 0 else draw(256)) for i in range(kept, 4)])
             if ipaddress.ip_address(drawn).is_private == ipaddress.ip_address(entity).is_private:
@@ -247,7 +265,8 @@ def rendered(drawn: str, mention: str, kind: str) -> str:
     """The surrogate the way the mention is written."""
     if kind in ("phone", "card", "ssn", "iban"):
         signs = iter(drawn.lstrip("+"))
-        return "".join(next(signs) if c.isalnum() else c for c in mention)
+        # A widened draw has more signs than the mention.
+        return "".join(next(signs) if c.isalnum() else c for c in mention) + "".join(signs)
     if mention.isupper() and len(mention) > 1 and any(c.isalpha() for c in mention):
         return drawn.upper()
     return drawn.title() if mention[0].isupper() and kind not in ("email", "ip6") else drawn
@@ -314,12 +333,6 @@ def assign(entities: DataFrame, key: bytes = KEY) -> DataFrame:
             return kept.select("kind", "entity", "drawn")
 
 
-def _free(docs: DataFrame, name: str) -> str:
-    while name in docs.columns:
-        name += "_"
-    return name
-
-
 def with_surrogates(docs: DataFrame, key: bytes = KEY, found_as: str | None = None,
                     length: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text``; all rows and other columns stay as they are.
@@ -328,7 +341,8 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY, found_as: str | None = No
     the same text. ``found_as`` names an added column with the entities (start,
     end, kind, entity; places in the original). An empty table stays empty.
     """
-    row, found = _free(docs, "_row"), found_as or _free(docs, "_found")
+    row, found, own = free_name(docs, "_row"), found_as or free_name(docs, "_found"), free_name(docs, "_own_row")
+    drawn_as = free_name(docs, "_drawn")
     # Detection runs once; rows are numbered in the written table, so that a text can be met again.
     marked = materialize(docs.withColumn(found, entities_in(F.col("text").cast("string")))
                          .withColumn(row, F.monotonically_increasing_id()), "marked")
@@ -336,15 +350,16 @@ def with_surrogates(docs: DataFrame, key: bytes = KEY, found_as: str | None = No
     drawn = assign(materialize(mentions.select("kind", "entity").distinct(), "entities"), key)
     # A mention of a hot entity is one small row; the join lets Spark split them.
     lists = (mentions.join(drawn, ["kind", "entity"])
-             .groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind", "drawn")).alias("drawn")))
+             .groupBy("row").agg(F.collect_list(F.struct("start", "end", "kind", "drawn")).alias("drawn"))
+             .select(F.col("row").alias(own), F.col("drawn").alias(drawn_as)))
 
     @F.arrow_udf("string")
     def put(texts: pa.Array, entities: pa.Array) -> pa.Array:
         return pa.array([replaced(t, e) for t, e in zip(texts.to_pylist(), entities.to_pylist())], pa.string())
 
     columns = [*docs.columns, *([found] if found_as else [])]
-    changed = marked.where(F.size(found) > 0).join(lists, F.col(row) == F.col("row"))
-    changed = changed.select(*[put(F.col("text"), F.col("drawn")).alias("text") if c == "text" else marked[c] for c in columns])
+    changed = marked.where(F.size(found) > 0).join(lists, F.col(row) == F.col(own))
+    changed = changed.select(*[put(F.col("text"), F.col(drawn_as)).alias("text") if c == "text" else F.col(f"`{c}`") for c in columns])
     if length is not None and length in columns:
         changed = changed.withColumn(length, F.length("text").cast(docs.schema[length].dataType))
-    return marked.where(F.size(found) == 0).select(*columns).unionByName(changed)
+    return marked.where(F.size(found) == 0).select(*[F.col(f"`{c}`") for c in columns]).unionByName(changed)

@@ -18,7 +18,7 @@ The counts are kept as the fingerprint with the two bits of each segment sorted
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from caseloom.llm.common import hashes, per_batch, utf8, words_of
+from caseloom.llm.common import free_name, hashes, per_batch, utf8, words_of
 from caseloom.llm.graph import components
 from caseloom.session import materialize
 
@@ -58,14 +58,15 @@ def fingerprint(words: list[bytes], shingle_words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id and ``fp``, the fingerprint as a signed bigint, one row per document; null text is empty."""
+def fingerprints(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, also: Sequence[str] = ()) -> DataFrame:
+    """doc_id, ``fp``, the fingerprint as a signed bigint, and the bigints ``also``; one row per document, null text is empty."""
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = [fingerprint(words_of(t, lower=True), shingle_words) for t in utf8(batch.column("text"))]
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        kept = [batch.column(name) for name in ("doc_id", *also)]
+        return pa.RecordBatch.from_arrays([*kept, pa.array(fps, pa.int64())], ["doc_id", *also, "fp"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        per_batch(work), "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), *also).mapInArrow(
+        per_batch(work), ", ".join(f"{name} bigint" for name in ("doc_id", *also, "fp")))
 
 
 def segment_counts(fp: Column) -> Column:
@@ -192,6 +193,13 @@ def links(fps: DataFrame, distance: int = MAX_DISTANCE, cell_rows: int = CELL_RO
             .mapInArrow(_edges_of_cells(distance), "a bigint, b bigint"))
 
 
+def _with_class(firsts: DataFrame, distance: int) -> DataFrame:
+    """``firsts``, one row per ``fp``, with the ``label`` of its class."""
+    classes = components(links(firsts.select("fp"), distance)).withColumnRenamed("node", "fp")
+    # Most fingerprints have no link; they are their own class.
+    return firsts.join(classes, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE) -> DataFrame:
     """doc_id, ``fingerprint`` (16 hex digits) and ``component_id``, the smallest doc_id of the class; one row per row.
 
@@ -202,9 +210,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, distanc
     """
     fps = materialize(fingerprints(docs, shingle_words), "simhash")
     firsts = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    classes = components(links(firsts.select("fp"), distance)).withColumnRenamed("node", "fp")
-    # Most fingerprints have no link; they are their own class.
-    joined = firsts.join(classes, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    joined = _with_class(firsts, distance)
     ids = joined.groupBy("label").agg(F.min("first").alias("component_id"))
     named = joined.join(ids, "label").select("fp", "component_id")
     return fps.join(named, "fp").select(
@@ -212,13 +218,26 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, distanc
 
 
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, distance: int = MAX_DISTANCE) -> DataFrame:
-    """``docs`` without the documents whose class has a smaller doc_id; all columns stay as they are.
+    """``docs`` with one document of each class, that of smallest doc_id; all columns stay as they are.
 
-    Rows without a doc_id stay: no class can be named after them. Rows that
-    repeat a doc_id are folded to one.
+    Of different texts under that doc_id the one of the smallest XXH64 stays, of
+    rows that repeat doc_id and text the first by a hash of the other columns
+    (maps aside). Rows without a doc_id stay, though they connect others: no
+    class can be named after them.
     """
-    classes = near_duplicates(docs, shingle_words, distance)
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return (named.join(kept, named["doc_id"].cast("bigint") == kept["_kept_id"], "left_semi")
-            .unionByName(docs.where("doc_id is null")))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    named = docs.where(F.col("doc_id").isNotNull())
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                       F.xxhash64(text).alias("tid"))
+    fps = materialize(fingerprints(rows, shingle_words, ["tid"]), "simhash")
+    firsts = (fps.groupBy("fp").agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "tid"))).alias("first")))
+    kept = (_with_class(firsts, distance).groupBy("label").agg(F.min("first").alias("first")).where("first is not null")
+            .select(F.col("first.doc_id").alias("kept_id"), F.col("first.tid").alias("kept_tid")))
+    key, tid, place = (free_name(docs, name) for name in ("_key", "_tid", "_place"))
+    others = [c for c, kind in docs.dtypes if c not in ("doc_id", "text") and "map<" not in kind]
+    marked = named.withColumns({key: F.col("doc_id").cast("bigint"), tid: F.xxhash64(text)})
+    met = marked.join(kept, (marked[key] == kept["kept_id"]) & (marked[tid] == kept["kept_tid"]), "left_semi")
+    # Rows of one document are next to each other after the join.
+    first = Window.partitionBy(key, tid).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0))
+    one = met.withColumn(place, F.row_number().over(first)).where(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return one.unionByName(docs.where(F.col("doc_id").isNull()))

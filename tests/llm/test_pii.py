@@ -1,3 +1,6 @@
+import ipaddress
+import time
+
 from caseloom.llm import pii
 
 
@@ -48,6 +51,34 @@ def test_names_of_small_pools(spark):
     assert len({r.drawn for r in got}) == len(got) == 600
 
 
+def test_spaces_too_small(spark):
+    """More entities than half of what their form leaves to draw: widened draws still part them all."""
+    rows = [("ip", f"192.168.{i // 256}.{i % 256}") for i in range(40_000)] + [("phone", f"+375{i:04d}") for i in range(8_000)]
+    rows += [("email", f"{chr(97 + i)}@x.example") for i in range(26)]
+    got = pii.assign(spark.createDataFrame(rows, "kind string, entity string").repartition(8)).collect()
+    drawn = {(r.kind, r.drawn) for r in got}
+    assert len(got) == len(rows) == len(drawn) and not drawn & set(rows)
+    assert all(ipaddress.ip_address(r.drawn).is_private for r in got if r.kind == "ip")
+    # No digit of a widened number is lost in the text.
+    assert pii.rendered("+37512345", "+375 1234", "phone") == "+375 12345"
+
+
+def test_many_entities():
+    text = " ".join(f"a{i}@mail.example.com 10.1.{i // 256}.{i % 256}" for i in range(6_000))
+    start = time.process_time()
+    assert len(pii.find(text)) == 12_000
+    assert time.process_time() - start < 5
+
+
+def test_clashing_names(spark):
+    names = ["row", "_row", "drawn", "_drawn", "entity", "kind", "start", "end", "e", "_Found", "a.b"]
+    docs = spark.createDataFrame([(1, "mail a@b.example.com", *names), (2, None, *names)],
+                                 "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = pii.with_surrogates(docs)
+    assert got.columns == docs.columns
+    assert sorted(tuple(r)[2:] for r in got.collect()) == [tuple(names)] * 2
+
+
 def test_empty(no_docs):
     assert pii.with_surrogates(no_docs).collect() == []
 

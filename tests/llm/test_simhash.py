@@ -60,6 +60,19 @@ def test_keep_one(odd_docs):
     assert [i for i in ids if i in (4, 5, 6)] == [4]
 
 
+def test_keep_one_of_repeated_rows(spark):
+    """Copies fold to one row whatever the other columns hold; of two texts of one doc_id and class one stays."""
+    long = " ".join(f"word{i}" for i in range(200))
+    rows = [(1, long, "a", {"k": 1}), (1, long, "b", {"k": 2}), (1, long + " ", "c", None), (2, long.upper(), "d", None),
+            (3, "other words here", "e", None), (3, "quite another text of its own", "f", None), (None, long, "g", None)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, `_Tid` string, first map<string, int>")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, (r.text or "").strip().lower()) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, long), (3, "other words here"), (3, "quite another text of its own"), (None, long)], key=repr)
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, simhash.keep_one(docs.repartition(5)).collect()))
+
+
 @pytest.mark.parametrize("cell_rows", [4, 4096])
 def test_links_of_dense_cells(spark, cell_rows):
     """Cells of many fingerprints, split into parts and not, connect what all pairs connect."""

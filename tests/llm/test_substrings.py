@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+import xxhash
 
 from caseloom.llm import substrings
 from caseloom.llm.common import hashes
@@ -10,17 +11,22 @@ from caseloom.llm.common import hashes
 def expected(rows):
     seen, done = set(), {}
     out = []
-    for doc_id, text in sorted(((d, t) for d, t in rows if d is not None), key=lambda r: r[0]):
+
+    def place(row):
+        digest = xxhash.xxh64_intdigest((row[1] or "").encode(), 42)
+        return row[0], digest - (1 << 64) * (digest >> 63)
+
+    for doc_id, text in sorted(((d, t) for d, t in rows if d is not None), key=place):
         words = (text or "").encode().split()
-        if doc_id not in done:
+        if (doc_id, text) not in done:
             covered = [False] * len(words)
             for i in range(len(words) - 19):
                 window = tuple(words[i:i + 20])
                 if window in seen:
                     covered[i:i + 20] = [True] * 20
                 seen.add(window)
-            done[doc_id] = (len(words), sum(covered), b" ".join(w for w, c in zip(words, covered) if not c).decode())
-        out.append((doc_id, *done[doc_id]))
+            done[doc_id, text] = (len(words), sum(covered), b" ".join(w for w, c in zip(words, covered) if not c).decode())
+        out.append((doc_id, *done[doc_id, text]))
     for doc_id, text in rows:
         if doc_id is None:
             words = (text or "").encode().split()
@@ -37,6 +43,16 @@ def test_removed(request, monkeypatch, which, anchor_segments):
     assert got == expected([tuple(r) for r in docs.select("doc_id", "text").collect()])
 
 
+def test_repeated_first_occurrences(spark):
+    """A first occurrence stays in every row that repeats it, and in the first of several texts of one doc_id."""
+    shared = " ".join(f"s{i}" for i in range(40))
+    one, two = f"a b c d e f g h i j k l m {shared}", f"{shared} n o p q r s t u v w x y z"
+    for rows in ([(1, one), (1, one), (2, two)], [(1, one), (1, two), (2, one)], [(1, one)] * 5 + [(1, two)] * 3 + [(0, None)]):
+        got = sorted((tuple(r) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+        assert got == expected(rows)
+        assert min(removed for _, n, removed, _ in got if n) == 0
+
+
 def test_empty(no_docs):
     assert substrings.remove_repeats(no_docs).collect() == []
 
