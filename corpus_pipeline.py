@@ -2,8 +2,8 @@
 
     python corpus_pipeline.py <folder of the tables> <output folder>
 
-Toxic documents go, one document of each class of near copies stays, personal
-data gets surrogates, the sources are laid out in the order of their weights,
+Toxic documents go, one document of each SimHash class stays, personal data gets
+surrogates, the sources are laid out in the order of their weights,
 and all documents are packed into sequences.
 """
 
@@ -14,7 +14,7 @@ import sys
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from caseloom.llm import mixing, near_copies, packing, pii, toxicity
+from caseloom.llm import mixing, packing, pii, simhash, toxicity
 from caseloom.llm.common import table
 from caseloom.session import build_session, materialize, release
 
@@ -28,8 +28,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each class that five-word shingles of similarity 0.8 link."""
-    return near_copies.keep_one(docs)
+    """The document of smallest doc_id of each class that fingerprints of three-word shingles link at three bits."""
+    return simhash.keep_one(docs)
 
 
 def with_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
