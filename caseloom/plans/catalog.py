@@ -23,8 +23,9 @@ from caseloom.operators import attribution, boosting, cases, features, fusion, m
 from caseloom.plans import training
 from caseloom.plans.training import ReportModels, load_models, train
 from caseloom.session import materialize, new_path
-from caseloom.sources import proxies, raw
+from caseloom.sources import proxies, raw, sinks
 from caseloom.sources.requests import REQUEST_SCHEMA, read_request_stream, with_request_defaults
+from caseloom.sources.store import CaseStore
 from caseloom.streaming.scoring import score_requests, start_scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,6 +101,42 @@ def raw_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loaded.withColumns(numbers)
 
 
+@query
+def raw_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Drugs by case from raw files whose names hold line breaks, separators and quotes."""
+    broken = F.concat(F.lit('two\nlines $ and "quotes" '), F.col("drugname"))
+    drug = proxies.drug(spark, sf_dir).withColumn("drugname", F.when(F.col("row_order") % 3 == 0, broken).otherwise(F.col("drugname")))
+    root = new_path(spark, "raw")
+    raw.write_quarters(drug, root, "DRUG")
+    parts = [raw.read_table(spark, f"{root}/{q}/ASCII", "DRUG").withColumn("quarter", F.lit(q)) for q in proxies.PROXY_QUARTERS]
+    return cases.joined_values(cases.union_quarters(parts), cases.DRUG_TEXT)
+
+
+def _of_quarter(tables: cases.CaseTables, quarter: str) -> cases.CaseTables:
+    return cases.CaseTables(*[table.where(F.col("quarter") == quarter) for table in (tables.demo, tables.drug, tables.reac, tables.outc)])
+
+
+@query
+def quarter_by_quarter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The case table after a late and then an early quarter were added to a store, with reports sent in both."""
+    tables = proxies.case_tables(spark, sf_dir, country=False)
+    tables = cases.CaseTables(proxies.overlapping_demo(spark, sf_dir), tables.drug, tables.reac, tables.outc)
+    store = CaseStore(spark, new_path(spark, "store"), proxies.PROXY_QUARTERS)
+    for quarter in reversed(proxies.PROXY_QUARTERS):
+        store.load(quarter, _of_quarter(tables, quarter))
+    return store.cases()
+
+
+@query
+def stored_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases assembled from tables that were stored by quarter and in buckets of cases."""
+    tables, path = proxies.case_tables(spark, sf_dir, country=False), new_path(spark, "stored")
+    name = path.rsplit("/", 1)[1].replace("-", "_")
+    for quarter in proxies.PROXY_QUARTERS:
+        sinks.store_tables(_of_quarter(tables, quarter), name, path, 8)
+    return cases.assemble(sinks.stored_tables(spark, name))
+
+
 @query
 def drug_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.joined_values(proxies.drug(spark, sf_dir), cases.DRUG_TEXT)

@@ -287,6 +287,15 @@ def oracle_sql() -> dict[str, str]:
         "raw_quarters": with_cases(
             "select quarter, primaryid, cast(age as double) as age, sex, wt, occr_country, drugname, route, prod_ai, "
             f"drug_seq, {_DOSE} as dose_amt, dose_freq, cast(dur as double) as dur, dechal, rechal, reactions, serious from cases"),
+        "raw_line_breaks": f"""with {_TABLES.strip()},
+changed as (select * replace (case when row_order % 3 = 0 then 'two' || chr(10) || 'lines $ and "quotes" ' || drugname else drugname end
+  as drugname) from drug)
+select quarter, primaryid, coalesce(drugname, '') as drugname, coalesce(route, '') as route, coalesce(prod_ai, '') as prod_ai
+from (select distinct quarter, primaryid from changed)
+  left join ({_joined("changed", "drugname")}) using (primaryid) left join ({_joined("changed", "route")}) using (primaryid)
+  left join ({_joined("changed", "prod_ai")}) using (primaryid)""",
+        "quarter_by_quarter": with_cases("select * exclude (occr_country) from cases"),
+        "stored_cases": with_cases("select * exclude (occr_country) from cases"),
         "drug_rollup": with_cases("select quarter, primaryid, drugname, route, prod_ai from drug_text"),
         "reaction_rollup": with_cases(
             "select quarter, primaryid, pt as reactions from reac_text join (select distinct quarter, primaryid from reac) using (primaryid)"),
