@@ -16,6 +16,7 @@ pieces of that length.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -195,14 +196,15 @@ def places(kinds: list[Kind], stream: Mapping[int, int], capacity: int) -> tuple
     return rows, first, ends
 
 
-def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
-    """Pieces of at most ``capacity`` ids: doc_id, start, length, doc_tokens, ids (little-endian, unsigned 32 bits).
+def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
+    """Pieces of at most ``capacity`` ids: doc_id, start, length, doc_tokens, ids_crc32, ids (little-endian, unsigned 32 bits).
 
-    ``task`` and ``place`` say which piece of its length it is in the task that cut it.
+    ``task`` and ``place`` say which piece of its length it is in the task that
+    cut it. Whole windows are never cut again and go without ids unless ``with_ids``.
     """
     tail = np.array([end], "<u4").tobytes()
-    kinds = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.int64()]
-    names = ["doc_id", "start", "length", "doc_tokens", "ids", "task", "place"]
+    kinds = [pa.int64()] * 5 + [pa.binary(), pa.int32(), pa.int64()]
+    names = ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "ids", "task", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, task = word_tokens(tokenizer_path), TaskContext.get().partitionId()
@@ -216,12 +218,14 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int
                     n = len(ids) // 4
                     for start in range(0, n, capacity):
                         length = min(capacity, n - start)
-                        rows.append((doc_id, start, length, n, ids[4 * start:4 * (start + length)], task, int(seen[length])))
+                        own = ids[4 * start:4 * (start + length)]
+                        rows.append((doc_id, start, length, n, zlib.crc32(own), own if with_ids or length < capacity else None,
+                                     task, int(seen[length])))
                         seen[length] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)], names)
 
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids binary, task int, place bigint")
+        run, "doc_id bigint, start bigint, length bigint, doc_tokens bigint, ids_crc32 bigint, ids binary, task int, place bigint")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -234,7 +238,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: in
     read. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    pieces = materialize(cut(docs, tokenizer_path, capacity, end), "pieces")
+    pieces = materialize(cut(docs, tokenizer_path, capacity, end, with_ids), "pieces")
     by_task = pieces.groupBy("task", "length").agg(F.count("*").alias("n"))
     # One row per task and length.
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
@@ -271,7 +275,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end: in
     ids = F.substring(F.col("ids"), (4 * F.col("from") + 1).cast("int"), (4 * F.col("size")).cast("int"))
     return placed.select(
         "doc_id", (F.col("start") + F.col("from")).alias("start"), F.col("size").alias("length"),
-        F.crc32(ids).alias("ids_crc32"), "doc_tokens",
+        F.when(F.size("parts") == 1, F.col("ids_crc32")).otherwise(F.crc32(ids)).alias("ids_crc32"), "doc_tokens",
         F.when(outside, F.col("slot.first") + F.col("rank") - F.col("slot.rank")).otherwise(sequences + number).alias("sequence_id"),
         F.when(outside, F.col("slot.offset")).otherwise(F.col("in_stream") - begins).alias("offset"),
         *([ids.alias("ids")] if with_ids else []))
