@@ -32,6 +32,17 @@ def _whole_word(terms: Sequence[str]) -> str:
     return rf"(?={starts})(?<![{WORD}])(?:{bodies})(?![{WORD}])"
 
 
+# Places where a word begins or ends.
+_EDGES = rf"(?<=[{WORD}])(?=[^{WORD}])|(?<=[^{WORD}])(?=[{WORD}])"
+
+
+def _meaning(word: Column) -> Column:
+    """What an abbreviation stands for, in any case; null for other words."""
+    table = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
+    capitals = F.upper(F.translate(word, "".join(v[2:] for v in CASE_VARIANTS.values()), "".join(k * len(v[2:]) for k, v in CASE_VARIANTS.items())))
+    return F.when(F.length(word) <= max(map(len, ABBREVIATIONS)), F.try_element_at(table, capitals))
+
+
 def clean_text(text: Column) -> Column:
     """Expand abbreviations, drop other characters, collapse spaces, lower-case; null gives ''.
 
@@ -39,11 +50,10 @@ def clean_text(text: Column) -> Column:
     moves no word boundary, and one pass does it together with the spaces.
     """
     kept = F.regexp_replace(text, rf"[^{WORD}\-.,()]+", " ")
-    expanded = kept
-    for short, meaning in ABBREVIATIONS.items():
-        expanded = F.regexp_replace(expanded, _whole_word([short]), meaning)
-    # Most texts hold no abbreviation: one scan then saves twelve.
-    expanded = F.when(kept.rlike(_whole_word(list(ABBREVIATIONS))), expanded).otherwise(kept)
+    # Words and what is between them, in turn; each is looked up once.
+    parts = F.transform(F.split(kept, _EDGES), lambda part: F.coalesce(_meaning(part), part))
+    # Most texts hold no abbreviation and are not taken apart.
+    expanded = F.when(kept.rlike(_whole_word(list(ABBREVIATIONS))), F.array_join(parts, "")).otherwise(kept)
     return F.coalesce(F.lower(F.trim(expanded)), F.lit(""))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caseloom.commits import current_version, save_version
 from caseloom.config import FEATURES, TreeSettings
 from caseloom.functions.numbers import at_least
 from caseloom.operators.cases import union_quarters
@@ -91,3 +92,13 @@ def feature_importance(model: PipelineModel, features: Sequence[str] = FEATURES)
     schema = T.StructType([T.StructField("feature", T.StringType()), T.StructField("importance", T.DoubleType())])
     rows = [(name, float(gain)) for name, gain in zip(features, gains)]
     return SparkSession.active().createDataFrame(rows, schema).orderBy(F.desc("importance"), "feature")
+
+
+def save_trees(model: PipelineModel, folder: str, keep: int = 3) -> int:
+    """Save as a new version below ``folder``; its number. A save that breaks leaves the last one."""
+    return save_version(SparkSession.active(), folder, lambda path: model.write().save(path), keep)
+
+
+def load_trees(spark: SparkSession, folder: str) -> PipelineModel:
+    """The newest version ``save_trees`` wrote."""
+    return PipelineModel.load(current_version(spark, folder))

@@ -12,10 +12,13 @@ from pyspark.sql import types as T
 from caseloom.config import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES
 from caseloom.functions.numbers import to_number
 from caseloom.functions.text import narrative
+from caseloom.operators.quantilesketch import quantiles, sketch
 from caseloom.operators.ranking import exact_quantiles
 from caseloom.session import materialize
 
 UNKNOWN = "UNKNOWN"
+# Values of all categorical features up to which their codes are looked up in the row: some 20 MB.
+LOOKUP_VALUES = 200_000
 NARRATIVE_PARTS = ["drugname", "route", "prod_ai", "reactions"]
 NUMERIC_SCHEMA = T.StructType([T.StructField("feature", T.StringType()), T.StructField("median", T.DoubleType()),
                                T.StructField("mean", T.DoubleType()), T.StructField("std", T.DoubleType())])
@@ -44,15 +47,16 @@ def engineered_flags(df: DataFrame) -> dict[str, Column]:
     }
 
 
-def numeric_stats(df: DataFrame) -> DataFrame:
-    """Per numeric feature: exact median, then mean and population deviation after filling with it.
+def numeric_stats(df: DataFrame, error: float | None = None) -> DataFrame:
+    """Per numeric feature: median, then mean and population deviation after filling with it.
 
-    An all-null column is filled with 0; a constant one is not scaled.
+    The median is exact, or with ``error`` from a sketch, to that relative error. An all-null column is filled with 0; a constant one is not scaled.
     """
     numbers = df.select(*[to_number(df, c).alias(c) for c in NUMERIC_FEATURES])
     stacked = numbers.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"))
                                                 for c in NUMERIC_FEATURES])))
-    medians = exact_quantiles(stacked, "value", [0.5], by="feature")
+    medians = exact_quantiles(stacked, "value", [0.5], by="feature") if error is None else quantiles(
+        sketch(stacked, "value", error, ["feature"]), [0.5], error, ["feature"])
     found = medians.agg(F.map_from_entries(F.collect_list(F.struct("feature", F.col("quantiles")[0])))).scalar()
     filled = numbers.withColumn("_median", found)
     filled = filled.select("_median", *[F.coalesce(c, F.element_at("_median", F.lit(c)), F.lit(0.0)).alias(c)
@@ -108,6 +112,7 @@ class FittedFeatures:
     numeric: dict[str, tuple[float, float, float]]
     categories: DataFrame
     fallback: dict[str, int]
+    n_values: int
     feature_names: tuple[str, ...] = tuple(FEATURES)
 
     @property
@@ -125,20 +130,69 @@ class FittedFeatures:
     def encoded(self, df: DataFrame) -> DataFrame:
         """Add ``code_<feature>``; unseen values take the code of UNKNOWN if fitted, else 0.
 
-        Joins the written codes of one feature after the other; Spark chooses for
-        each by its size, and splits the partitions of hot values.
+        Up to ``LOOKUP_VALUES`` values the codes of all features are one lookup
+        table in the row's own stage, without a join. Beyond that a table of
+        cases takes one join for all features, a stream one for each.
         """
+        known = [c for c in CATEGORICAL_FEATURES if c in df.columns and c in self.fallback]
+        if self.n_values <= LOOKUP_VALUES:
+            found = self._looked_up(known)
+        elif not df.isStreaming and "primaryid" in df.columns:
+            return self._joined(df, known)
+        else:
+            return self._joined_each(df, known)
+        return df.withColumns({f"code_{c}": found.get(c, F.lit(0)) for c in CATEGORICAL_FEATURES})
+
+    def _looked_up(self, known: Sequence[str]) -> dict[str, Column]:
+        """Codes by hash: the table has a slot per hash, each a map of the few (feature, value) that fall there."""
+        if not known:
+            return {}
+        slots = 1 << max(0, self.n_values - 1).bit_length()
+
+        def key(feature: Column, value: Column) -> Column:
+            return F.concat_ws("\0", feature, value)
+
+        def slot(of: Column) -> Column:
+            return F.pmod(F.xxhash64(of), F.lit(slots)).cast("int")
+
+        own = key(F.col("feature"), F.col("value"))
+        entries = (self.categories.groupBy(slot(own).alias("slot"))
+                   .agg(F.map_from_entries(F.collect_list(F.struct(own, "code"))).alias("codes")))
+        every = self.categories.sparkSession.range(slots).select(F.col("id").cast("int").alias("slot")).join(entries, "slot", "left")
+        maps = F.transform(F.array_sort(F.collect_list(F.struct("slot", F.map_entries("codes").alias("codes")))),
+                           lambda s: F.map_from_entries(s["codes"]))
+        # At most LOOKUP_VALUES entries: one array for each executor.
+        table = every.agg(maps).scalar()
+        codes = {}
+        for name in known:
+            wanted = key(F.lit(name), category_value(name))
+            codes[name] = F.coalesce(F.try_element_at(F.get(table, slot(wanted)), wanted), F.lit(self.fallback[name]))
+        return codes
+
+    def _joined(self, df: DataFrame, known: Sequence[str]) -> DataFrame:
+        """Codes by one join: a row per feature, of which the first carries the case; keys of cases are unique."""
+        carried = [c for c in df.columns if c != "primaryid"]
+        pairs = F.array(*[F.struct(F.lit(i).alias("field"), F.lit(c).alias("feature"), category_value(c).alias("value"),
+                                   (F.struct(*carried) if i == 0 else F.lit(None)).alias("case")) for i, c in enumerate(known)])
+        coded = df.select("primaryid", F.inline(pairs)).join(self.categories, ["feature", "value"], "left")
+        codes = {c: F.coalesce(F.max(F.when(F.col("field") == i, F.col("code"))), F.lit(self.fallback[c])) for i, c in enumerate(known)}
+        whole = coded.groupBy("primaryid").agg(F.first("case", ignorenulls=True).alias("case"),
+                                               *[code.alias(f"code_{c}") for c, code in codes.items()])
+        return whole.select(*[F.col("primaryid") if c == "primaryid" else F.col("case")[c].alias(c) for c in df.columns],
+                            *[(F.col(f"code_{c}") if c in codes else F.lit(0)).alias(f"code_{c}") for c in CATEGORICAL_FEATURES])
+
+    def _joined_each(self, df: DataFrame, known: Sequence[str]) -> DataFrame:
+        """Codes by one join for each feature, which a stream can do without state."""
         coded = df
         for name in CATEGORICAL_FEATURES:
-            fallback = F.lit(self.fallback.get(name, 0))
-            if name not in df.columns or name not in self.fallback:
+            if name not in known:
                 coded = coded.withColumn(f"code_{name}", F.lit(0))
                 continue
             codes = (self.categories.where(F.col("feature") == name)
                      .select(F.col("value").alias("_value"), F.col("code").alias("_code")))
             coded = coded.withColumn("_value", category_value(name))
             coded = (coded.join(codes, "_value", "left")
-                     .withColumn(f"code_{name}", F.coalesce("_code", fallback)).drop("_value", "_code"))
+                     .withColumn(f"code_{name}", F.coalesce("_code", F.lit(self.fallback[name]))).drop("_value", "_code"))
         return coded
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ("primaryid", "serious")) -> DataFrame:
@@ -160,10 +214,11 @@ class FittedFeatures:
         names.coalesce(1).write.mode("overwrite").parquet(f"{path}/feature_names")
 
 
-def _fallback(categories: DataFrame) -> dict[str, int]:
+def _fallback(categories: DataFrame) -> tuple[dict[str, int], int]:
+    """Code of unseen values by feature, and how many values there are in all; one row per feature is collected."""
     unknown = F.max(F.when(F.col("value") == UNKNOWN, F.col("code")))
-    return {r["feature"]: r["code"] for r in
-            categories.groupBy("feature").agg(F.coalesce(unknown, F.lit(0)).alias("code")).collect()}
+    rows = categories.groupBy("feature").agg(F.coalesce(unknown, F.lit(0)).alias("code"), F.count("*").alias("n")).collect()
+    return {r["feature"]: r["code"] for r in rows}, sum(r["n"] for r in rows)
 
 
 def _stats(numeric: DataFrame) -> dict[str, tuple[float, float, float]]:
@@ -176,11 +231,11 @@ def fit_features(df: DataFrame) -> FittedFeatures:
     The codes are a written table; the driver sees one fallback per feature.
     """
     categories = materialize(category_map(df), "category-map")
-    return FittedFeatures(_stats(numeric_stats(df)), categories, _fallback(categories))
+    return FittedFeatures(_stats(numeric_stats(df)), categories, *_fallback(categories))
 
 
 def load_features(spark: SparkSession, path: str) -> FittedFeatures:
     names = [r["name"] for r in spark.read.parquet(f"{path}/feature_names").orderBy("position").collect()]
     categories = spark.read.schema(CATEGORY_SCHEMA).parquet(f"{path}/category_map")
     numeric = spark.read.schema(NUMERIC_SCHEMA).parquet(f"{path}/numeric_stats")
-    return FittedFeatures(_stats(numeric), categories, _fallback(categories), tuple(names))
+    return FittedFeatures(_stats(numeric), categories, *_fallback(categories), tuple(names))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from caseloom.functions.hashing import uniform
 from caseloom.functions.numbers import to_number
 from caseloom.functions.text import risky_reaction
+from caseloom.operators.quantilesketch import quantiles, sketch
 from caseloom.operators.ranking import frequency_table, quantiles_of
 
 # Age bands, open below and closed above.
@@ -117,7 +118,7 @@ def histogram(df: DataFrame, value: str, by: str = "serious", bins: int = BINS)
                     F.coalesce("n", F.lit(0)).alias("n")))
 
 
-def _boxes(df: DataFrame, value: str, by: str) -> tuple[DataFrame, DataFrame, Column]:
+def _boxes(df: DataFrame, value: str, by: str, error: float | None = None) -> tuple[DataFrame, DataFrame, Column]:
     """Frequencies of the values, one box per class, and the test for lying within its fences.
 
     All of it starts from the frequencies, so the table itself is read once.
@@ -126,7 +127,10 @@ def _boxes(df: DataFrame, value: str, by: str) -> tuple[DataFrame, DataFrame, Co
     frequencies = frequency_table(rows, "x", by)
     q1, q3 = F.col("quantiles")[0], F.col("quantiles")[2]
     spread = (q3 - q1) * 1.5
-    boxes = quantiles_of(frequencies, "x", [0.25, 0.5, 0.75], by).select(
+    shares = [0.25, 0.5, 0.75]
+    found = quantiles_of(frequencies, "x", shares, by) if error is None else quantiles(
+        sketch(frequencies, "x", error, [by], "_n"), shares, error, [by])
+    boxes = found.select(
         by, "n", q1.alias("q1"), F.col("quantiles")[1].alias("median"), q3.alias("q3"),
         (q1 - spread).alias("low"), (q3 + spread).alias("high"))
     lookup = F.map_from_entries(F.collect_list(F.struct(by, F.struct("low", "high"))))
@@ -134,12 +138,13 @@ def _boxes(df: DataFrame, value: str, by: str) -> tuple[DataFrame, DataFrame, Co
     return fenced, boxes, (F.col("x") >= F.col("_fence.low")) & (F.col("x") <= F.col("_fence.high"))
 
 
-def boxplot(df: DataFrame, value: str = "dose_amt", by: str = "serious") -> DataFrame:
+def boxplot(df: DataFrame, value: str = "dose_amt", by: str = "serious", error: float | None = None) -> DataFrame:
     """Quartiles, whiskers at the last values within 1.5 interquartile ranges, outlier count.
 
-    ``by`` is a class column with few values.
+    ``by`` is a class column with few values. ``error`` takes the quartiles from
+    a sketch, values of the table to that relative error.
     """
-    fenced, boxes, inside = _boxes(df, value, by)
+    fenced, boxes, inside = _boxes(df, value, by, error)
     outliers = F.coalesce(F.sum(F.when(~inside, F.col("_n"))), F.lit(0))
     ends = fenced.groupBy(by).agg(F.min(F.when(inside, F.col("x"))).alias("whisker_low"),
                                   F.max(F.when(inside, F.col("x"))).alias("whisker_high"),
@@ -159,26 +164,20 @@ def boxplot_outliers(df: DataFrame, value: str = "dose_amt", by: str = "serious"
 def correlation_matrix(df: DataFrame, columns: Sequence[str] = CORRELATED) -> DataFrame:
     """Pearson correlation of every pair over the rows where both are present.
 
-    One pass over the table; a constant column gives null.
+    One pass over the table, whose moments fold to one row per task before the
+    shuffle; a constant column gives null.
     """
     numbers = df.select(*[to_number(df, c).alias(c) for c in columns])
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
-
-    def values(i: int, j: int) -> Column:
-        both = F.col(columns[i]).isNotNull() & F.col(columns[j]).isNotNull()
-        return F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.when(both, F.col(columns[i])).alias("x"),
-                        F.when(both, F.col(columns[j])).alias("y"))
-
-    # A row per pair keeps the aggregate narrow enough for generated code; all of
-    # them fold to one row per pair before the shuffle.
-    upper = (numbers.select(F.inline(F.array(*[values(i, j) for i, j in pairs]))).groupBy("i", "j")
-             .agg(F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("correlation")))
-    names = F.array(*[F.lit(c) for c in columns])
-    both_ways = F.array_distinct(F.array(F.struct(F.col("i").alias("a"), F.col("j").alias("b")),
-                                         F.struct(F.col("j").alias("a"), F.col("i").alias("b"))))
-    return (upper.select(F.inline(both_ways), "correlation")
-            .select(F.element_at(names, F.col("a") + 1).alias("feature_a"),
-                    F.element_at(names, F.col("b") + 1).alias("feature_b"), "correlation"))
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    # Each leaves rows without both values out by itself, and is merged without loss of precision.
+    moments = [moment(b, a).alias(f"{kind}_{a}_{b}") for a, b in pairs
+               for kind, moment in (("sxy", F.regr_sxy), ("sxx", F.regr_sxx), ("syy", F.regr_syy))]
+    row = numbers.agg(*moments)
+    both_ways = [(a, b, f"{a}_{b}") for a, b in pairs] + [(b, a, f"{a}_{b}") for a, b in pairs if a != b]
+    lines = [F.struct(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"),
+                      F.try_divide(F.col(f"sxy_{pair}"), F.sqrt(f"sxx_{pair}") * F.sqrt(f"syy_{pair}")).alias("correlation"))
+             for a, b, pair in both_ways]
+    return row.select(F.inline(F.array(*lines)))
 
 
 def preview(df: DataFrame, n: int = 5, key: str = "primaryid") -> DataFrame:

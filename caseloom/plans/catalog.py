@@ -19,12 +19,13 @@ from caseloom.functions.hashing import FOLD_SALT, NOISE_SALT, SPLIT_SALT, portab
 from caseloom.functions.numbers import at_least, to_number
 from caseloom.functions.report import report_text, risk_label
 from caseloom.functions.text import clean_text, risky_reaction, tokens, words
-from caseloom.operators import attribution, boosting, cases, features, fusion, metrics, ranking, splits, statistics, tokeninfluence
+from caseloom.operators import (attribution, boosting, cases, features, fusion, metrics, quantilesketch, ranking, splits, statistics,
+                                tokeninfluence)
 from caseloom.plans import training
 from caseloom.plans.training import ReportModels, load_models, train
 from caseloom.session import materialize, new_path
 from caseloom.sources import proxies, raw, sinks
-from caseloom.sources.requests import REQUEST_SCHEMA, read_request_stream, with_request_defaults
+from caseloom.sources.requests import REQUEST_SCHEMA, distinct_requests, read_request_stream, with_request_defaults
 from caseloom.sources.store import CaseStore
 from caseloom.streaming.scoring import score_requests, start_scoring
 
@@ -431,6 +432,30 @@ def dose_boxplot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(statistics.boxplot(_labelled(spark, sf_dir)), "q1", "median", "q3")
 
 
+@query
+def quantile_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles of four measurements from sketches that each quarter keeps, and whether they are as near as promised."""
+    rows = _cases(spark, sf_dir)
+    long = rows.select("quarter", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("feature"), to_number(rows, name).alias("value")) for name in ("age", "wt", "dose_amt", "dur")])))
+    kept = [materialize(quantilesketch.sketch(long.where(F.col("quarter") == q), "value", 0.01, ["feature"]), f"sketch-{q}")
+            for q in proxies.PROXY_QUARTERS]
+    shares = [0.05, 0.25, 0.5, 0.75, 0.95]
+    found = quantilesketch.quantiles(quantilesketch.merge(kept, ["feature"]), shares, 0.01, ["feature"])
+    exact = long.groupBy("feature").agg(*[F.expr(f"percentile_disc({p}) within group (order by value)").alias(str(i))
+                                          for i, p in enumerate(shares)])
+    exact = exact.select("feature", F.posexplode(F.array(*[f"`{i}`" for i in range(len(shares))])).alias("place", "exact"))
+    lines = found.select("feature", "n", F.posexplode("quantiles").alias("place", "quantile")).join(exact, ["feature", "place"])
+    return lines.select("feature", F.element_at(F.array(*[F.lit(p) for p in shares]), F.col("place") + 1).alias("share"), "n", _round("quantile"),
+                        (F.abs(F.col("quantile") - F.col("exact")) <= F.abs("exact") * 0.01 + 1e-9).alias("holds"))
+
+
+@query
+def sketched_boxplot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Box plot of the doses from sketched quartiles."""
+    return _rounded(statistics.boxplot(_labelled(spark, sf_dir), error=0.005), "q1", "median", "q3")
+
+
 @query
 def value_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event values beyond the whiskers of their event type."""
@@ -490,6 +515,19 @@ def request_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_request_defaults(_requests(spark, sf_dir))
 
 
+@query
+def stream_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests of a stream in which every third is sent again ten minutes later, each once."""
+    requests = _requests(spark, sf_dir).withColumn("received", F.timestamp_seconds(1_700_000_000 + F.col("primaryid") % 3600))
+    again = requests.where("primaryid % 3 = 0").withColumn("received", F.col("received") + F.expr("interval 10 minutes"))
+    inbox, outbox, progress = (new_path(spark, name) for name in ("requests", "distinct", "progress"))
+    requests.unionByName(again).write.parquet(inbox)
+    stream = distinct_requests(read_request_stream(spark, inbox, timed=True), late="2 hours").drop("received")
+    (stream.writeStream.format("parquet").option("path", outbox).option("checkpointLocation", progress)
+     .trigger(availableNow=True).start().awaitTermination())
+    return with_request_defaults(spark.read.parquet(outbox))
+
+
 def _contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaled measurements of each case, standing in for contributions of a model."""
     rows = materialize(_scored(spark, sf_dir), "scored")
@@ -570,8 +608,8 @@ def tree_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = _training_table(spark, sf_dir)
     model = boosting.fit_trees(table.where("is_train = 1"), TREES)
     path = new_path(spark, "trees")
-    model.write().save(path)
-    scored = boosting.predict_proba(PipelineModel.load(path), boosting.predict(model, table), "loaded_proba")
+    boosting.save_trees(model, path)
+    scored = boosting.predict_proba(boosting.load_trees(spark, path), boosting.predict(model, table), "loaded_proba")
     holds = (F.col("tree_proba").between(0, 1) & (F.col("predicted") == at_least(F.col("tree_proba")))
              & (F.col("loaded_proba") == F.col("tree_proba")))
     return scored.select("primaryid", "serious", "is_train", holds.alias("holds"))

@@ -237,6 +237,9 @@ fenced as (
   select doses.serious, x, n, q1, median, q3, x between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) as inside
   from doses join box on doses.serious = box.serious where x is not null)"""
 
+# Middle of the value's bucket, at a relative error of 0.005.
+_SKETCHED = ("2 * pow(1.005e0 / 0.995e0, ceil(ln(quantile_disc(x, {share})) / ln(1.005e0 / 0.995e0))) / (1 + 1.005e0 / 0.995e0)")
+
 _PAIRS = [(a, b) for a in CORRELATED for b in CORRELATED]
 _CORR_COLUMNS = {**_NUMERIC, "serious": "cast(serious as double)"}
 _CORRELATION = with_cases("").rstrip() + f""",
@@ -366,6 +369,25 @@ select doc_id, cast(len(w) as int) as n_words, cast(len(w[1:256]) as int) as n_t
             "select serious, n, round(q1, 6) as q1, round(median, 6) as median, round(q3, 6) as q3, "
             "least(min(x) filter (inside), q1) as whisker_low, greatest(max(x) filter (inside), q3) as whisker_high, "
             "count(*) filter (not inside) as n_outliers from fenced group by serious, n, q1, median, q3", _BOX),
+        "quantile_sketches": with_cases(f"""
+, long as (select unnest([{{'f': 'age', 'x': cast(age as double)}}, {{'f': 'wt', 'x': wt}}, {{'f': 'dose_amt', 'x': {_DOSE}}},
+  {{'f': 'dur', 'x': cast(dur as double)}}]) as m from cases),
+known as (select m.f as feature, m.x as x from long where m.x is not null),
+placed as (select *, row_number() over (partition by feature order by x) as place, count(*) over (partition by feature) as n from known),
+wanted as (select feature, n, share, min(x) as x from placed cross join (select unnest([0.05e0, 0.25e0, 0.5e0, 0.75e0, 0.95e0]) as share)
+  where place >= greatest(1, ceil(share * n)) group by feature, n, share)
+select feature, share, n, case when x = 0 then 0 else
+  round(2 * pow(1.01e0 / 0.99e0, ceil(ln(x) / ln(1.01e0 / 0.99e0))) / (1 + 1.01e0 / 0.99e0), 6) end as quantile, true as holds from wanted"""),
+        "sketched_boxplot": _scored(
+            "select serious, n, round(q1, 6) as q1, round(median, 6) as median, round(q3, 6) as q3, "
+            "least(min(x) filter (inside), q1) as whisker_low, greatest(max(x) filter (inside), q3) as whisker_high, "
+            "count(*) filter (not inside) as n_outliers from fenced group by serious, n, q1, median, q3",
+            _BOX.replace("count(x) as n, quantile_cont(x, 0.25) as q1, quantile_cont(x, 0.5) as median, quantile_cont(x, 0.75) as q3",
+                         "count(x) as n, " + ", ".join(_SKETCHED.format(share=p) + f" as {n}" for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))),
+        "stream_repeats": with_cases(
+            "select primaryid, drugname, route, prod_ai, reactions, cast(age as double) as age, wt, sex, "
+            f"{_DOSE} as dose_amt, dose_freq, cast(dur as double) as dur, 1 as drug_seq, "
+            "'unknown' as dechal, 'unknown' as rechal, 'US' as occr_country from cases"),
         "value_outliers": """
 with box as (select event_type, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3
   from events group by event_type)

@@ -7,58 +7,27 @@ now: they are listed as gone from there. So loading the quarters one by one, in
 any order, gives what loading them at once does, and each load reads its own raw
 files and the stored keys only.
 
-A load writes into a folder of its own and counts once its entry is in the log.
-Entries are numbered; each is written aside and renamed to its number, which
-fails if another load took that number first, so loads do not overwrite each
-other and a broken one leaves nothing but an unread folder.
+A load writes into a folder of its own and counts once its entry is in the log
+(``commits``), under the number that follows the entries it has read; if another
+load took that number it fails, so no load misses another's reports.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caseloom.commits import commit, entries
 from caseloom.config import QUARTERS
 from caseloom.operators.cases import CASE, CaseTables, assemble, keep_first, union_quarters, usable
 
 KEY = "primaryid"
 
 
-def _path(spark: SparkSession, path: str):
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
-
-
-def commit_file(spark: SparkSession, path: str, text: str) -> bool:
-    """Write ``text`` to ``path`` whole; False if the path is there already."""
-    place, files = _path(spark, path)
-    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.tmp")
-    stream = files.create(aside, False)
-    try:
-        stream.write(bytearray(text.encode()))
-    finally:
-        stream.close()
-    # Rename over a file that is there fails on distributed file systems; local ones replace it.
-    if files.exists(place) or not files.rename(aside, place):
-        files.delete(aside, False)
-        return False
-    return True
-
-
-def read_text(spark: SparkSession, path: str) -> str:
-    place, files = _path(spark, path)
-    lines = spark._jvm.java.io.BufferedReader(spark._jvm.java.io.InputStreamReader(files.open(place), "UTF-8"))
-    try:
-        return "\n".join(iter(lines.readLine, None))
-    finally:
-        lines.close()
-
-
 @dataclass(frozen=True)
 class Load:
     """One entry of the log."""
@@ -76,11 +45,7 @@ class CaseStore:
 
     def log(self) -> list[Load]:
         """Finished loads, by number."""
-        place, files = _path(self.spark, f"{self.root}/log")
-        if not files.exists(place):
-            return []
-        names = sorted(s.getPath().getName() for s in files.listStatus(place))
-        return [Load(**json.loads(read_text(self.spark, f"{self.root}/log/{name}"))) for name in names if name.endswith(".json")]
+        return [Load(**entry) for _, entry in entries(self.spark, self.root)]
 
     def _rank(self, quarter: str) -> tuple[int, str]:
         # Quarters outside the list come last, in their own order, as in ``keep_first``.
@@ -133,8 +98,7 @@ class CaseStore:
         else:
             moved = keys.limit(0)
         moved.select(*CASE).write.parquet(f"{self.root}/{folder}/gone")
-        entry = json.dumps({"quarter": quarter, "folder": folder, "labelled": labelled})
-        if not commit_file(self.spark, f"{self.root}/log/{len(done):08d}.json", entry):
+        if not commit(self.spark, self.root, len(done), asdict(Load(quarter, folder, labelled))):
             raise RuntimeError(f"another load finished while {quarter} was loaded; load it again")
         return len(done)
 

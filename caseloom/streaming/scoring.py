@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
 from caseloom.plans.training import ReportModels
-from caseloom.sources.requests import with_request_defaults
+from caseloom.sources.requests import distinct_requests, with_request_defaults
 
 
 def score_requests(models: ReportModels, requests: DataFrame) -> DataFrame:
@@ -15,12 +15,15 @@ def score_requests(models: ReportModels, requests: DataFrame) -> DataFrame:
 
 
 def start_scoring(models: ReportModels, requests: DataFrame, output: str, checkpoint: str,
-                  available_now: bool = False) -> StreamingQuery:
+                  available_now: bool = False, late: str | None = None) -> StreamingQuery:
     """Write scored reports as Parquet, each exactly once.
 
-    Scoring keeps no state, so there is no watermark. ``available_now`` stops
-    after the requests that are there.
+    Scoring keeps no state. With ``late``, timed requests that are sent again
+    within that time are scored once (``distinct_requests``). ``available_now``
+    stops after the requests that are there.
     """
+    if late is not None:
+        requests = distinct_requests(requests, late).drop("received")
     writer = (score_requests(models, requests).writeStream.format("parquet")
               .option("path", output).option("checkpointLocation", checkpoint))
     if available_now:

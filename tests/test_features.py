@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from caseloom.config import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES
 from caseloom.functions.numbers import to_number
+from caseloom.operators import features
 from caseloom.operators.features import category_map, engineered_flags, fit_features, load_features, numbered_by_range
 
 
@@ -109,3 +110,19 @@ def test_layout_does_not_matter(spark, two_reports):
     fitted = fit_features(two_reports.repartition(7))
     assert fitted.numeric == fit_features(two_reports.coalesce(1)).numeric
     assert len(CATEGORICAL_FEATURES + NUMERIC_FEATURES) == 11
+
+
+def test_codes_whatever_the_number_of_values(spark, monkeypatch):
+    """Looked up in the row, by one join, or by one join for each feature: the same codes."""
+    rows = [(i, "MF"[i % 2], None if i % 7 == 0 else f"C{i % 11}", f"r{i}", "x|y"[: i % 4]) for i in range(300)] + [(None, "M", "C1", "r1", "")]
+    cases = spark.createDataFrame(rows, "primaryid long, sex string, occr_country string, route string, other string")
+    fitted = features.fit_features(cases.where("primaryid % 3 > 0"))
+    looked_up = fitted.encoded(cases)
+    assert "Join" not in looked_up._jdf.queryExecution().optimizedPlan().toString().split("Subquery")[0].split("scalar-subquery")[0]
+    monkeypatch.setattr(features, "LOOKUP_VALUES", 0)
+    joined = fitted.encoded(cases)
+    assert joined._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    each = fitted.encoded(cases.withColumnRenamed("primaryid", "key")).withColumnRenamed("key", "primaryid")
+    want = sorted(map(repr, each.collect()))
+    assert sorted(map(repr, looked_up.collect())) == sorted(map(repr, joined.collect())) == want
+    assert looked_up.columns == joined.columns == each.columns

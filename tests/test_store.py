@@ -5,10 +5,11 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
-from caseloom.operators.cases import CaseTables, assemble, joined_values, serious_flag
+from caseloom.commits import commit_file
+from caseloom.operators.cases import CaseTables, assemble
 from caseloom.sources import proxies
 from caseloom.sources.sinks import store_tables, stored_tables, write_cases
-from caseloom.sources.store import CaseStore, commit_file, load_files
+from caseloom.sources.store import CaseStore, load_files
 from conftest import SMALL
 
 QUARTERS = ["2022q1", "2022q2", "2022q3"]
