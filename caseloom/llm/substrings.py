@@ -2,9 +2,8 @@
 
 A window is ``WINDOW`` consecutive words of one document. A window is a repeat
 if the same words also start earlier: in a document of smaller doc_id, or in the
-same one further ahead. Words covered by a repeat go. A document is named by its
-doc_id and a hash of its text, ``tid``, so that different texts of one doc_id are
-documents of their own, in the order of that hash.
+same one further ahead. Words covered by a repeat go. Different texts of one
+doc_id are documents of their own, its versions, in the order of their hashes.
 
 Which windows meet: the smallest hash of a window's runs of ``ANCHOR`` words is
 its anchor. Equal windows have equal anchors, and consecutive windows of one
@@ -80,7 +79,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
             found, ids = [], []
-            names = zip(batch.column("doc_id").to_pylist(), batch.column("tid").to_pylist())
+            names = zip(batch.column("doc_id").to_pylist(), batch.column("version").to_pylist())
             for name, text in zip(names, utf8(batch.column("text"))):
                 words = words_of(text)
                 if len(words) >= WINDOW:
@@ -88,11 +87,11 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ids.append(np.tile(np.array(name, np.int64), (len(found[-1][0]), 1)))
             if found:
                 starts, sizes, anchors, contents = (np.concatenate(x) for x in zip(*found))
-                doc_ids, tids = np.concatenate(ids).T
+                doc_ids, versions = np.concatenate(ids).T
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids), pa.array(tids), pa.array(starts.astype(np.int32)), pa.array(sizes.astype(np.int32)),
+                    [pa.array(doc_ids), pa.array(versions.astype(np.int32)), pa.array(starts.astype(np.int32)), pa.array(sizes.astype(np.int32)),
                      pa.array(anchors.view(np.int64)), pa.array(contents.view(np.int64))],
-                    ["doc_id", "tid", "start", "n", "anchor", "content"])
+                    ["doc_id", "version", "start", "n", "anchor", "content"])
 
 
 class WaveletTree:
@@ -197,26 +196,26 @@ class FMIndex:
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeats of each shard as runs of windows; first windows of anchors in several shards."""
-    names = ["kind", "a", "b", "doc_id", "tid", "start", "n"]
+    names = ["kind", "a", "b", "doc_id", "version", "start", "n"]
 
     def shard(rows: list[tuple]) -> pa.RecordBatch:
         rows.sort(key=lambda r: r[2:5])
         split = [r[5].encode().split(b" ") for r in rows]
         out: list[tuple] = []
-        for (anchor, shards, doc_id, tid, start, _), words, repeats in zip(rows, split, FMIndex(split).repeated()):
+        for (anchor, shards, doc_id, version, start, _), words, repeats in zip(rows, split, FMIndex(split).repeated()):
             edges = np.flatnonzero(np.diff(np.concatenate([[0], repeats.astype(np.int8), [0]])))
-            out += [(0, doc_id, start + int(a), doc_id, tid, start + int(a), int(b - a)) for a, b in edges.reshape(-1, 2)]
+            out += [(0, doc_id, start + int(a), doc_id, version, start + int(a), int(b - a)) for a, b in edges.reshape(-1, 2)]
             if shards > 1 and not repeats.all():
                 windows = rolled(hashes(words, len(words)), WINDOW).view(np.int64)
-                out += [(1, anchor, int(windows[i]), doc_id, tid, start + int(i), 1) for i in np.flatnonzero(~repeats)]
+                out += [(1, anchor, int(windows[i]), doc_id, version, start + int(i), 1) for i in np.flatnonzero(~repeats)]
         columns = list(zip(*out)) or [()] * 7
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names)
 
     rows: list[tuple] = []
     words, last = 0, None
     for batch in batches:
-        for row in zip(*(batch.column(n).to_pylist() for n in ("anchor", "shards", "salt", "doc_id", "tid", "start", "words"))):
+        for row in zip(*(batch.column(n).to_pylist() for n in ("anchor", "shards", "salt", "doc_id", "version", "start", "words"))):
             key = row[:3]
             if key != last and words >= SHARD_WORDS:
                 yield shard(rows)
@@ -232,25 +231,25 @@ def _segment_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for whole in batches:
         for batch in (whole.slice(i, 256) for i in range(0, whole.num_rows, 256)):
             out: list[tuple] = []
-            for doc_id, tid, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("tid").to_pylist(),
+            for doc_id, version, text, wanted in zip(batch.column("doc_id").to_pylist(), batch.column("version").to_pylist(),
                                                  utf8(batch.column("text")), batch.column("wanted").to_pylist()):
                 words = words_of(text)
-                out += [(w["anchor"], w["shards"], w["salt"], doc_id, tid, w["start"],
+                out += [(w["anchor"], w["shards"], w["salt"], doc_id, version, w["start"],
                          b" ".join(words[w["start"]:w["start"] + w["n"] + WINDOW - 1]).decode()) for w in wanted]
             columns = list(zip(*out)) or [()] * 7
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)],
-                                             ["anchor", "shards", "salt", "doc_id", "tid", "start", "words"])
+                                             ["anchor", "shards", "salt", "doc_id", "version", "start", "words"])
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc_id, tid, ``start`` and ``n``: runs of windows that start earlier in the corpus too.
+def repeats(docs: DataFrame, repeated: bool = True) -> DataFrame:
+    """doc_id, version, ``start`` and ``n``: runs of windows that start earlier in the corpus too.
 
-    ``docs`` has doc_id, never null, text, and tid. Rows that repeat doc_id and
-    tid count once.
+    ``docs`` has doc_id, never null, text and version. Rows that repeat doc_id
+    and version count once; ``repeated`` says whether there may be any.
     """
     segments = materialize(docs.mapInArrow(
-        _segments, "doc_id bigint, tid bigint, start int, n int, anchor bigint, content bigint"), "segments")
+        _segments, "doc_id bigint, version int, start int, n int, anchor bigint, content bigint"), "segments")
     # Hot anchors fold before the shuffle. The counts are written, for Spark splits the hot partitions of a
     # join only if nothing is aggregated between the shuffle and the join.
     shared = materialize(segments.groupBy("anchor").agg(F.count("*").alias("met")).where("met > 1").select("anchor"),
@@ -259,22 +258,24 @@ def repeats(docs: DataFrame) -> DataFrame:
     remove_table(segments)
     remove_table(shared)
     contents = materialize(
-        met.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "tid", "start")).alias("first"), F.max("n").alias("n"))
-        .select("anchor", "content", "first.doc_id", "first.tid", "first.start", "n"), "contents")
-    place = ["doc_id", "tid", "start"]
+        met.groupBy("anchor", "content").agg(F.min(F.struct("doc_id", "version", "start")).alias("first"), F.max("n").alias("n"))
+        .select("anchor", "content", "first.doc_id", "first.version", "first.start", "n"), "contents")
+    place = ["doc_id", "version", "start"]
     copies = met.select(*place, "n").distinct().join(contents.select(*place), place, "left_anti")
     # A segment alone under its anchor shares no window with another one.
     several = (contents.groupBy("anchor").agg(F.count("*").alias("segments")).where("segments > 1")
                .select("anchor", F.ceil(F.col("segments") / F.lit(ANCHOR_SEGMENTS)).cast("int").alias("shards")))
     wanted = (contents.join(several, "anchor")
               .withColumn("salt", F.pmod(F.col("content"), F.col("shards")).cast("int"))
-              .groupBy("doc_id", "tid").agg(F.collect_list(F.struct("anchor", "shards", "salt", "start", "n")).alias("wanted")))
-    # Repeated rows fold to one, in the partitions and the order that the join leaves.
-    named = docs.join(wanted, ["doc_id", "tid"]).groupBy("doc_id", "tid").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
+              .groupBy("doc_id", "version").agg(F.collect_list(F.struct("anchor", "shards", "salt", "start", "n")).alias("wanted")))
+    named = docs.join(wanted, ["doc_id", "version"])
+    if repeated:
+        # They fold to one, in the partitions and the order that the join leaves.
+        named = named.groupBy("doc_id", "version").agg(F.first("text").alias("text"), F.first("wanted").alias("wanted"))
     found = (named.mapInArrow(_segment_words,
-                              "anchor bigint, shards int, salt int, doc_id bigint, tid bigint, start int, words string")
+                              "anchor bigint, shards int, salt int, doc_id bigint, version int, start int, words string")
              .repartition("anchor", "salt").sortWithinPartitions("anchor", "salt")
-             .mapInArrow(_shards, "kind int, a bigint, b bigint, doc_id bigint, tid bigint, start int, n int"))
+             .mapInArrow(_shards, "kind int, a bigint, b bigint, doc_id bigint, version int, start int, n int"))
     # Of the windows with one hash the first stays; as many rows share one as an anchor has shards.
     earlier = Window.partitionBy("kind", "a", "b").orderBy(*place)
     inside = (found.withColumn("place", F.row_number().over(earlier)).where("kind = 0 or place > 1")
@@ -282,6 +283,23 @@ def repeats(docs: DataFrame) -> DataFrame:
     return copies.unionByName(inside)
 
 
+def _with_versions(texts: DataFrame) -> tuple[DataFrame, bool]:
+    """``texts`` with ``version``, the number from 0 of a text among those of its doc_id, and whether any row repeats.
+
+    Hashes alone move; only versions beyond the first are joined, if there are any.
+    """
+    tid = F.xxhash64(F.coalesce("text", F.lit("")))
+    each = texts.where("doc_id is not null").groupBy("doc_id", tid.alias("tid")).agg(F.count("*").alias("n"))
+    order = Window.partitionBy("doc_id").orderBy("tid")
+    unusual = materialize(each.withColumn("version", F.row_number().over(order) - 1).where("n > 1 or version > 0"), "versions")
+    found = unusual.agg(F.max("n").alias("n"), F.max("version").alias("version")).first()
+    if not found["version"]:
+        return texts.withColumn("version", F.lit(0)), (found["n"] or 1) > 1
+    versions = unusual.where("version > 0").select("doc_id", "tid", "version")
+    joined = texts.withColumn("tid", tid).join(versions, ["doc_id", "tid"], "left")
+    return joined.select("doc_id", "text", F.coalesce("version", F.lit(0)).alias("version")), True
+
+
 def _kept(words: list[bytes], runs: list[dict] | None) -> tuple[int, int, str]:
     removed = 0
     if runs:
@@ -305,9 +323,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     Windows are judged on the input. An empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.withColumn("tid", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts, repeated = _with_versions(texts)
     named = texts.where("doc_id is not null")
-    runs = repeats(named).groupBy("doc_id", "tid").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    runs = repeats(named, repeated).groupBy("doc_id", "version").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -321,7 +339,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n_words", "n_removed", "kept_text"])
 
     without = F.lit(None).cast("array<struct<start:int,n:int>>").alias("runs")
-    return (named.join(runs, ["doc_id", "tid"], "left").unionByName(texts.where("doc_id is null").select("*", without))
+    return (named.join(runs, ["doc_id", "version"], "left").unionByName(texts.where("doc_id is null").select("*", without))
             .mapInArrow(finish, "doc_id bigint, n_words bigint, n_removed bigint, kept_text string"))
 
 
