@@ -18,6 +18,7 @@ from caseloom.config import CATEGORICAL_FEATURES, FEATURES, NUMERIC_FEATURES, Fu
 from caseloom.functions.hashing import FOLD_SALT, NOISE_SALT, SPLIT_SALT, portable_hash, uniform
 from caseloom.functions.numbers import at_least, to_number
 from caseloom.functions.report import report_text, risk_label
+from caseloom.functions.subwords import vocabulary_of, with_pieces
 from caseloom.functions.text import clean_text, risky_reaction, tokens, words
 from caseloom.operators import (attribution, boosting, cases, features, fusion, metrics, quantilesketch, ranking, splits, statistics,
                                 tokeninfluence)
@@ -35,6 +36,9 @@ _QUERIES: dict[str, Query] = {}
 # Small models: the registered queries show the jobs, not the best fit.
 TREES = TreeSettings(trees=10)
 FUSION = FusionSettings(iterations=(10,))
+CANDIDATES = FusionSettings(iterations=(10, 25, 50))
+# By how much fitted trees must rank held-out cases better than one measurement does.
+MARGIN = 0.02
 
 
 def query(function: Query) -> Query:
@@ -228,6 +232,16 @@ def tokens_256(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.array_join("tokens", " ").alias("tokens"))
 
 
+@query
+def subword_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 256 pieces of each document, by a vocabulary of its words."""
+    documents = proxies.table(spark, sf_dir, "documents")
+    rows = documents.select("doc_id", words(clean_text(F.col("text"))).alias("tokens"))
+    vocabulary = materialize(vocabulary_of(rows.select(F.explode("tokens").alias("word"))), "vocabulary")
+    cut = with_pieces(rows, vocabulary, "doc_id", limit=256)
+    return cut.select("doc_id", F.size("tokens").alias("n_pieces"), F.array_join("tokens", " ").alias("pieces"))
+
+
 @query
 def risky_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = proxies.table(spark, sf_dir, "documents")
@@ -595,11 +609,23 @@ def text_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embedding of each narrative in millionths, as text."""
     from pyspark.ml.functions import vector_to_array
     rows = materialize(fusion.with_tokens(features.with_narrative(_cases(spark, sf_dir))).select("primaryid", "tokens"), "cases")
-    embedded = fusion.embed(fusion.fit_embedding(rows, FUSION), rows)
+    embedded = fusion.embed_table(fusion.fit_embedding(rows, FUSION), rows)
     millionths = F.transform(vector_to_array("embedding"), lambda x: F.round(x * 1e6).cast("bigint").cast("string"))
     return embedded.select("primaryid", F.array_join(millionths, " ").alias("embedding"))
 
 
+# Coefficients that stand in for those of a fitted text model.
+FIXED_COEFFICIENTS = [((j * 37) % 11 - 5) / 10 for j in range(fusion.DIMENSIONS)]
+
+
+@query
+def influence_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Influence and place of the words of each narrative under fixed coefficients, rounded after they are placed."""
+    rows = materialize(fusion.with_tokens(features.with_narrative(_cases(spark, sf_dir))).select("primaryid", "tokens"), "tokens")
+    found = tokeninfluence.token_influence(rows, fusion.fit_embedding(rows, FUSION), FIXED_COEFFICIENTS)
+    return found.select("primaryid", "token", (F.col("importance") + 0.0).alias("importance"), "place")
+
+
 # Fitted models. What a model says no SQL knows; what must hold for it, row by row, it does.
 
 @query
@@ -730,7 +756,7 @@ def _text_model(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, fusion.Tex
     told = features.with_narrative(splits.train_flag(_labelled(spark, sf_dir)))
     rows = materialize(fusion.with_tokens(told).select("primaryid", "serious", "is_train", "tokens"), "tokens")
     embedding = fusion.fit_embedding(rows.where("is_train = 1"), FUSION)
-    embedded = materialize(fusion.embed(embedding, rows), "embedded")
+    embedded = materialize(fusion.embed_table(embedding, rows), "embedded")
     return embedded, embedding, fusion.fit_text_only(embedded.where("is_train = 1"))
 
 
@@ -739,6 +765,49 @@ def token_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokeninfluence.token_influence(*_text_model(spark, sf_dir))
 
 
+@query
+def piece_influence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``token_influence``, by pieces of words."""
+    told = fusion.with_tokens(features.with_narrative(splits.train_flag(_labelled(spark, sf_dir)))).select("primaryid", "serious", "is_train", "tokens")
+    told = materialize(told, "tokens")
+    vocabulary = materialize(vocabulary_of(told.select(F.explode("tokens").alias("word"))), "vocabulary")
+    rows = materialize(with_pieces(told, vocabulary), "pieces")
+    embedding = fusion.fit_embedding(rows.where("is_train = 1"), FUSION)
+    embedded = materialize(fusion.embed_table(embedding, rows), "embedded")
+    return tokeninfluence.token_influence(embedded, embedding, fusion.fit_text_only(embedded.where("is_train = 1")))
+
+
+@query
+def fusion_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Validation AUC and loss of three fitted fusion networks, the kept one first."""
+    return train(_labelled(spark, sf_dir, country=True), TREES, CANDIDATES)[1]
+
+
+@query
+def ablation_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All metrics of fitted trees, text model and fusion on the held-out cases."""
+    *_, table = training.fusion_inputs(_labelled(spark, sf_dir, country=True), TREES, CANDIDATES)
+    fitted, held_out = table.where("is_train = 1"), table.where("is_train = 0")
+    network, _ = fusion.best_fusion(fitted, held_out, CANDIDATES)
+    scored = fusion.score_text_only(fusion.fit_text_only(fitted), fusion.fuse(network, held_out))
+    return _rounded(fusion.ablation(scored), "auc_roc", "auc_pr", "f1", "precision", "recall", "specificity")
+
+
+@query
+def fit_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC of single measurements on the held-out cases, and whether the fitted trees beat it by ``MARGIN``."""
+    table = _training_table(spark, sf_dir)
+    model = boosting.fit_trees(table.where("is_train = 1"), TREES)
+    reached = metrics.ranking_metrics(boosting.predict_proba(model, table.where("is_train = 0")), "serious", "tree_proba")
+    rows = splits.train_flag(_labelled(spark, sf_dir)).where("is_train = 0")
+    singles = rows.select("serious", F.inline(F.array(*[
+        F.struct(F.lit(name).alias("feature"), F.coalesce(to_number(rows, name), F.lit(float(stand_in))).alias("score"))
+        for name, stand_in in (("age", 55), ("drug_seq", 1), ("dose_amt", 0), ("dur", 0))])))
+    floors = metrics.ranking_metrics(singles, by="feature")
+    beaten = reached.agg(F.max("auc_roc")).scalar() >= F.greatest(F.col("auc_roc"), 1 - F.col("auc_roc")) + MARGIN
+    return floors.select("feature", _round("auc_roc"), beaten.alias("beaten"))
+
+
 @query
 def stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests scored by a stream that runs until none are left."""

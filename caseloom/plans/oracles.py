@@ -460,6 +460,45 @@ summed as (select primaryid, j, sum(n * rarity * sign) as x from counted join si
 lengths as (select primaryid, sqrt(sum(x * x)) as length from summed group by 1)
 select primaryid, string_agg(cast(cast(round(x / length * 1e6) as bigint) as varchar), ' ' order by j) as embedding
 from summed join lengths using (primaryid) group by primaryid"""),
+        "influence_places": with_cases(f"""
+, words as (select primaryid, unnest(list_filter(string_split({_NARRATIVE}, ' '), lambda w: w <> '')) as token from cases),
+counted as (select primaryid, token, cast('0x' || md5(token)[1:5] as int) as bucket, count(*) as n from words group by 1, 2, 3),
+rarity as (select bucket, ln(((select count(*) from cases) + 1) / (count(distinct primaryid) + 1)) as rarity from counted group by bucket),
+signs as (select bucket, rarity, j, 2 * (((instr('0123456789abcdef', md5('{SEED}:' || bucket)[j // 4 + 1]) - 1) >> (3 - j % 4)) & 1) - 1 as sign
+  from rarity cross join (select unnest(range(128)) as j)),
+margins as (select bucket, any_value(rarity) as rarity, sum(sign * ((j * 37) % 11 - 5) / 10e0) as margin from signs group by bucket),
+summed as (select primaryid, j, sum(n * rarity * sign) as x from counted join signs using (bucket) group by 1, 2),
+lengths as (select primaryid, sqrt(sum(x * x)) as length from summed group by 1),
+valued as (select primaryid, token, n * rarity * margin / length as importance from counted join margins using (bucket) join lengths using (primaryid))
+select primaryid, token, round(importance, 4) + 0.0e0 as importance,
+  cast(row_number() over (partition by primaryid order by importance desc, token) as int) as place from valued"""),
+        "fit_floors": _scored(f"""
+select feature, {_AUC}, true as beaten from curve group by feature""", f"""
+held_out as (select * from labelled where {hash_split} // 21474837 >= 80),
+singles as (select serious, m.f as feature, m.x as score from (select serious, unnest([
+  {{'f': 'age', 'x': cast(coalesce(age, 55) as double)}}, {{'f': 'drug_seq', 'x': cast(coalesce(drug_seq, 1) as double)}},
+  {{'f': 'dose_amt', 'x': coalesce({_DOSE}, 0)}}, {{'f': 'dur', 'x': cast(coalesce(dur, 0) as double)}}]) as m from held_out))""",
+                              _CURVE.format(by="feature, ", source="singles", part="feature")),
+        "subword_tokens": rf"""
+with recursive texts as (select doc_id, list_filter(string_split({clean("text")}, ' '), lambda w: w <> '') as tokens from documents),
+occurrences as (select doc_id, unnest(tokens) as word, generate_subscripts(tokens, 1) as place from texts),
+counted as (select word, count(*) as n from occurrences group by word),
+often as (select word from counted where n >= 5 and length(word) <= 12),
+letters as (select distinct unnest(string_split(word, '')) as c from counted),
+vocabulary as (select word as piece from often
+  union select '##' || right(word, n) from often cross join (select unnest([2, 3, 4]) as n) where length(word) > n
+  union select c from letters union select '##' || c from letters),
+tried as (select word, place, n, case when place > 1 then '##' else '' end || substring(word, place, n) as piece
+  from (select word, place, unnest(range(1, least(14, length(word) - place + 1) + 1)) as n
+    from (select word, unnest(range(1, length(word) + 1)) as place from counted where length(word) <= 100))),
+fits as (select word, place, max(n) as n from tried join vocabulary using (piece) group by word, place),
+walk as (select word, cast(1 as bigint) as spot, cast([] as varchar[]) as pieces from counted
+  union all select walk.word, spot + fits.n, list_append(pieces, case when spot > 1 then '##' else '' end || substring(walk.word, spot, fits.n))
+  from walk join fits on walk.word = fits.word and walk.spot = fits.place),
+cut as (select word, coalesce(max(pieces) filter (spot > length(word)), ['[UNK]']) as pieces from walk group by word),
+joined as (select doc_id, flatten(list(pieces order by place)) as pieces from occurrences join cut using (word) group by doc_id)
+select doc_id, cast(least(256, coalesce(len(pieces), 0)) as int) as n_pieces, coalesce(array_to_string(pieces[1:256], ' '), '') as pieces
+from texts left join joined using (doc_id)""",
         "tree_checks": _scored(f"select primaryid, serious, cast({hash_split} // 21474837 < 80 as int) as is_train, true as holds from labelled"),
         "importance_checks": "select cast(16 as bigint) as features, true as adds_up, true as positive",
         "fold_checks": _scored("select primaryid, cast(1 as bigint) as scores, fold, true as holds from folded", _FOLDED),

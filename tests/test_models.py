@@ -131,6 +131,20 @@ def test_embedding(cases):
     assert all(np.linalg.norm(v) == pytest.approx(1) for v in vectors)
 
 
+def test_embedding_of_tables(spark, cases):
+    """By words and broadcast buckets what the row by row way gives, without Python, for texts without words too."""
+    rows = fusion.with_tokens(with_narrative(cases)).select("primaryid", "serious", "tokens")
+    model = fusion.fit_embedding(rows.where("primaryid % 2 = 0"), FUSION)
+    rows = rows.unionByName(spark.createDataFrame([(-1, 1, []), (-2, 0, None), (None, None, ["zzzunseen"]), (-3, 1, ["bleeding"] * 3)], "primaryid long, serious int, tokens array<string>"))
+    table = fusion.embed_table(model, rows)
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+    got = {r.primaryid: r for r in table.collect()}
+    for r in fusion.embed(model, rows).collect():
+        assert tuple(got[r.primaryid])[:3] == tuple(r)[:3]
+        assert np.allclose(got[r.primaryid].embedding.toArray(), r.embedding.toArray(), atol=1e-12)
+
+
 def test_fusion_output(models, cases):
     scored = models[0].score(cases).collect()
     assert len(scored) == 1_500
