@@ -28,8 +28,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Bounds of the training sample: documents of each kind, and words of a document.
-TOXIC_DOCS, ORDINARY_DOCS, SAMPLE_WORDS = 1_600, 3_200, 4_000
+# Bounds of the training sample: documents of each kind, whole.
+TOXIC_DOCS, ORDINARY_DOCS = 1_600, 3_200
 # Bytes of the dictionaries. Together they stay below 128 KB, where zstandard changes its search.
 TOXIC_BYTES, ORDINARY_BYTES = 16_384, 65_536
 LEVEL = 12
@@ -159,7 +159,7 @@ def train(sample: list[tuple[int, str, int]], toxic_share: float) -> Model:
 
     Two thirds of the sample train the dictionaries, the rest fits the curve.
     """
-    kept = [(zlib.crc32(f"third {i}".encode()) % 3 == 0, words_of(text)[:SAMPLE_WORDS], y) for i, text, y in sample]
+    kept = [(zlib.crc32(f"third {i}".encode()) % 3 == 0, words_of(text), y) for i, text, y in sample]
     if len({(rest, y) for rest, _, y in kept}) < 4:
         return Model(b"", b"", ())
     toxic, ordinary = _dictionaries([k for k in kept if not k[0]])
@@ -198,11 +198,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         return near.orderBy("hash", "doc_id").limit(most).drop("hash")
 
     chosen = first(1, TOXIC_DOCS).unionByName(first(0, ORDINARY_DOCS))
-    # At most TOXIC_DOCS + ORDINARY_DOCS rows are broadcast and collected, of a few words each.
-    start = F.array_join(F.slice(F.split("text", r"\s+"), 1, SAMPLE_WORDS), " ")
+    # At most TOXIC_DOCS + ORDINARY_DOCS rows are broadcast, and as many texts collected.
     rows = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
             .where("text is not null").join(F.broadcast(chosen), "doc_id")
-            .select("doc_id", start.alias("text"), "toxic").collect())
+            .select("doc_id", "text", "toxic").collect())
     sample = sorted((row["doc_id"], row["text"], row["toxic"]) for row in rows)
     return train(sample, share or 0.0)
 
