@@ -22,16 +22,36 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Sum of the default weights: shares are kept to half a percent.
-RESOLUTION = 200
+from caseloom.llm.common import free_name, sums_before
+
+# Sum of the default weights: shares are kept to half a percent, or with many sources to a twentieth of a mean share.
+RESOLUTION, PER_SOURCE = 200, 20
+# Slots the driver schedules at most, in up to two rounds for each source: what many sources' shares are kept to follows from it.
+PLAN_SLOTS = 4_000_000
 # Documents of a source that are ranked in one group.
 BUCKET_ROWS = 4096
 
 
-def root_weights(counts: Mapping[str, int], resolution: int = RESOLUTION) -> dict[str, int]:
-    """Shares by the root of the counts, which raises small sources, as whole numbers of at least 1."""
+def resolution_of(sources: int) -> int:
+    """Sum of the weights of so many sources."""
+    return max(RESOLUTION, sources, min(PER_SOURCE * sources, PLAN_SLOTS // (2 * max(1, sources))))
+
+
+def root_weights(counts: Mapping[str, int], resolution: int | None = None) -> dict[str, int]:
+    """Shares by the root of the counts, which raises small sources, as whole numbers of at least 1.
+
+    Numbers that add up to ``resolution`` but for the ones that are raised to 1:
+    rounded down, then the largest remainders up.
+    """
+    if not counts:
+        return {}
+    resolution = resolution or resolution_of(len(counts))
     total = sum(math.sqrt(n) for n in counts.values())
-    return {key: max(1, round(resolution * math.sqrt(n) / total)) for key, n in counts.items()}
+    exact = {key: resolution * math.sqrt(n) / total for key, n in counts.items()}
+    weights = {key: max(1, math.floor(x)) for key, x in exact.items()}
+    for key in sorted(exact, key=lambda k: (math.floor(exact[k]) - exact[k], k))[:max(0, resolution - sum(weights.values()))]:
+        weights[key] += 1
+    return weights
 
 
 def schedule(quotas: Mapping[str, int]) -> dict[str, list[int]]:
@@ -92,52 +112,50 @@ def mix(docs: DataFrame, weights: Mapping[str | None, int] | None = None, source
     added ones are replaced. An empty table stays empty.
     """
     spark = docs.sparkSession
-    # The internal names must not meet a column of the table.
-    docs = docs.drop("position", "weight", "block")
-    keyed = docs.withColumn("_mix_key", _key(F.col(source)))
-    counts = {row["_mix_key"]: row["n"] for row in keyed.groupBy("_mix_key").agg(F.count("*").alias("n")).collect()}
+    # Numbered names inside, so that no column of the table can meet another.
+    own = [(c, kind) for c, kind in docs.dtypes if c not in ("position", "weight", "block")]
+    inner = {c: f"c{i}" for i, (c, _) in enumerate(own)}
+    rows = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in inner.items()])
+    # Maps have no hash; rows that differ in nothing else come in any order.
+    hashed_by = [inner[c] for c, kind in own if "map<" not in kind]
+    key = inner[key]
+    keyed = rows.withColumn("source", _key(F.col(inner[source])))
+    counts = {row["source"]: row["n"] for row in keyed.groupBy("source").agg(F.count("*").alias("n")).collect()}
     if weights is None:
         chosen = root_weights(counts)
     else:
         named = {"null" if k is None else f"source {k}": int(w) for k, w in weights.items()}
         chosen = {k: max(1, named.get(k, 1)) for k in counts}
     phases = _phases(counts, chosen)
-    schema = ("_mix_key string, _mix_weight int, _mix_buckets bigint, "
-              "_mix_phases array<struct<start: bigint, position: bigint, length: int, slots: array<int>>>")
+    schema = ("source string, weight int, buckets bigint, "
+              "phases array<struct<start: bigint, position: bigint, length: int, slots: array<int>>>")
     plan = spark.createDataFrame([(k, chosen[k], -(-counts[k] // BUCKET_ROWS), phases[k]) for k in sorted(counts)], schema)
 
     # Ranks without a window over a whole source: buckets by hash, ranks inside, bucket sizes summed before.
     # The plan is bounded by the sources and is broadcast: a join by source would deal whole sources to single tasks.
-    hashed = (keyed.join(F.broadcast(plan), "_mix_key")
-              .withColumn("_mix_hash", F.xxhash64(key))
-              .withColumn("_mix_bucket", F.pmod("_mix_hash", "_mix_buckets")))
-    sizes = hashed.groupBy("_mix_key", "_mix_bucket").agg(F.count("*").alias("_mix_size"))
-    # One row per bucket: few thousand documents make one row here.
-    before = Window.partitionBy("_mix_key").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_mix_key", "_mix_bucket", F.coalesce(F.sum("_mix_size").over(before), F.lit(0)).alias("_mix_before"))
-    inside = Window.partitionBy("_mix_key", "_mix_bucket").orderBy("_mix_hash", key, F.xxhash64(*docs.columns))
-    ranked = (hashed.withColumn("_mix_place", F.row_number().over(inside))
-              .join(offsets, ["_mix_key", "_mix_bucket"], "left")
-              .withColumn("block", F.col("_mix_before") + F.col("_mix_place") - 1))
-    turn = F.floor(F.col("block") / F.col("_mix_weight"))
-    phase = F.element_at(F.filter("_mix_phases", lambda p: p["start"] <= F.col("_mix_turn")), -1)
-    placed = (ranked.withColumn("_mix_turn", turn).withColumn("_mix_phase", phase)
-              .withColumn("position", F.col("_mix_phase.position")
-                          + (F.col("_mix_turn") - F.col("_mix_phase.start")) * F.col("_mix_phase.length")
-                          + F.element_at(F.col("_mix_phase.slots"),
-                                         (F.col("block") - F.col("_mix_turn") * F.col("_mix_weight") + 1).cast("int"))))
-    return placed.select(*docs.columns, "position", F.col("_mix_weight").alias("weight"), "block")
+    hashed = (keyed.join(F.broadcast(plan), "source").withColumn("hash", F.xxhash64(key))
+              .withColumn("bucket", F.pmod("hash", "buckets")))
+    offsets = sums_before(hashed.groupBy("source", "bucket").agg(F.count("*").alias("size")), "bucket", "size", ["source"])
+    inside = Window.partitionBy("source", "bucket").orderBy("hash", key, F.xxhash64(*hashed_by))
+    ranked = (hashed.withColumn("place", F.row_number().over(inside)).join(offsets, ["source", "bucket"], "left")
+              .withColumn("block", F.col("before") + F.col("place") - 1).withColumn("turn", F.floor(F.col("block") / F.col("weight"))))
+    phase = F.element_at(F.filter("phases", lambda p: p["start"] <= F.col("turn")), -1)
+    placed = ranked.withColumn("phase", phase).withColumn(
+        "position", F.col("phase.position") + (F.col("turn") - F.col("phase.start")) * F.col("phase.length")
+        + F.element_at(F.col("phase.slots"), (F.col("block") - F.col("turn") * F.col("weight") + 1).cast("int")))
+    return placed.select(*[F.col(name).alias(c) for c, name in inner.items()], "position", "weight", "block")
 
 
 def placed(docs: DataFrame, weights: Mapping[str | None, int] | None = None, position: str = "position") -> DataFrame:
     """``docs``, all rows and columns, with their place in the mixture as ``position``, a name that ``docs`` does not use."""
     own = docs.columns
     # Columns of the table that clash with the added ones come back under their own names.
-    clash = {c: f"_own_{c}" for c in own if c in ("position", "weight", "block")}
+    clash = {c: free_name(docs, f"own_{c}") for c in own if c in ("position", "weight", "block")}
     mixture = mix(docs.withColumnsRenamed(clash), weights)
-    return mixture.select(*[F.col(clash.get(c, c)).alias(c) for c in own], mixture["position"].alias(position))
+    return mixture.select(*[F.col(f"`{clash.get(c, c)}`").alias(c) for c in own], mixture["position"].alias(position))
 
 
 def mixed_order(docs: DataFrame, weights: Mapping[str | None, int] | None = None) -> DataFrame:
     """``docs``, all rows and columns, laid out in the order of the mixture: written, its files follow each other."""
-    return placed(docs, weights, "_mix_position").orderBy("_mix_position").drop("_mix_position")
+    position = free_name(docs, "_mix_position")
+    return placed(docs, weights, position).orderBy(position).drop(position)

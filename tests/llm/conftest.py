@@ -2,7 +2,8 @@ import pytest
 SMALL = "/root/testdata/sf0.001"
 
 # Names the operators use inside, as columns of the input.
-CLASHING = ["fp", "position", "weight", "block", "label", "score", "start", "task", "part", "_found", "_row", "component_id"]
+CLASHING = ["fp", "position", "weight", "block", "label", "score", "start", "task", "part", "_found", "_row", "component_id",
+            "row", "_own_tid", "_mix_weight", "_mix_position", "source_", "phase", "turn", "c0", "tid", "version", "rank", "range", "used", "at"]
 
 
 @pytest.fixture(scope="session")

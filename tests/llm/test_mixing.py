@@ -42,3 +42,24 @@ def test_share_at_every_prefix(spark):
     order = [r.source for r in mixing.mix(docs, {"a": 3, "b": 1}).orderBy("position").collect()]
     for t in range(1, 500):
         assert abs(order[:t].count("a") - 0.75 * t) < 1
+
+
+def test_many_sources_keep_their_shares():
+    """The largest of many sources gets what it wants, small ones no more than a slot of a round."""
+    for sources in (1, 5, 50, 200, 1000):
+        counts = {f"s{i}": 10_000_000 // (i + 1) for i in range(sources)}
+        weights = mixing.root_weights(counts)
+        total, roots = sum(weights.values()), {k: n ** 0.5 for k, n in counts.items()}
+        for key, n in roots.items():
+            want = n / sum(roots.values())
+            assert abs(weights[key] / total - want) <= 1.5 / mixing.resolution_of(sources), (sources, key)
+
+
+def test_columns_of_any_name_and_kind(spark):
+    docs = spark.createDataFrame([(i, "ab"[i % 2], {"k": i}, i, "x", 0.5) for i in range(40)],
+                                 "doc_id long, source string, attributes map<string, long>, _mix_weight long, `a.b` string, position double")
+    got = mixing.placed(docs, {"a": 3, "b": 1}, "place")
+    assert got.columns == [*docs.columns, "place"]
+    rows = got.collect()
+    assert sorted(r.place for r in rows) == list(range(40)) and {r.position for r in rows} == {0.5}
+    assert mixing.mixed_order(docs).columns == docs.columns
