@@ -58,7 +58,8 @@ DEMO_DOSES = [10, 25, 50, 100, 200, 500]
 DEMO_FREQUENCIES = ["QD", "BID", "TID", "QID", "PRN"]
 DEMO_CHALLENGE = ["Y", "N", "U"]
 
-# Reactions that raise the risk rule.
+# Points of the risk rule for old age, many drugs and a reaction, the span of its noise, and the reactions.
+RISK_POINTS = {"age": 0.3, "drugs": 0.2, "reaction": 0.4, "noise": 0.3}
 RISK_REACTIONS = "bleeding|anaphylaxis|liver"
 
 # Wording of scored reports.
@@ -66,8 +67,17 @@ HIGH_RISK, LOW_RISK = "HIGH RISK", "LOW RISK"
 HIGH_RISK_MARK, LOW_RISK_MARK = "🔴", "🟢"
 RAISES, LOWERS = "increases risk", "decreases risk"
 FACTOR_LINE = "• %s: %+.4f (%s)"
-SCORE_LINE = "**ADR Risk Score:** `%.4f`"
-FACTORS_TITLE = "### 🔍 Top Contributing Factors"
+# Fixed value: a whole report, with places for mark, label, score and factor lines.
+REPORT = """
+## %s %s
+
+**ADR Risk Score:** `%.4f`
+
+---
+
+### 🔍 Top Contributing Factors
+%s
+"""
 
 SEED = 42
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caseloom.config import RISK_POINTS
 from caseloom.functions.hashing import uniform
 from caseloom.functions.numbers import to_number
 from caseloom.functions.text import risky_reaction
@@ -25,14 +26,14 @@ def risk_score(age: Column, drug_seq: Column, reactions: Column, noise: Column)
     def points(condition: Column, weight: float) -> Column:
         return F.when(condition, F.lit(weight)).otherwise(F.lit(0.0))
 
-    return (points(age > 65, 0.3) + points(drug_seq > 5, 0.2)
-            + points(risky_reaction(reactions), 0.4) + noise)
+    return (points(age > 65, RISK_POINTS["age"]) + points(drug_seq > 5, RISK_POINTS["drugs"])
+            + points(risky_reaction(reactions), RISK_POINTS["reaction"]) + noise)
 
 
 def with_risk_label(cases: DataFrame) -> DataFrame:
     """Replace ``serious`` by the risk rule, with noise that depends on the case key only."""
     score = risk_score(to_number(cases, "age"), to_number(cases, "drug_seq"), F.col("reactions"),
-                       uniform(F.col("primaryid")) * F.lit(0.3))
+                       uniform(F.col("primaryid")) * F.lit(RISK_POINTS["noise"]))
     return cases.withColumn("serious", (score > 0.5).cast("int"))
 
 

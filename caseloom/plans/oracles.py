@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from caseloom.config import (ABBREVIATIONS, CATEGORICAL_FEATURES, DEMO_REACTIONS, EMPTY_NARRATIVE, FACTORS_TITLE, HIGH_RISK,
-                             HIGH_RISK_MARK, LOW_RISK, LOW_RISK_MARK, LOWERS, RAISES, RISK_REACTIONS, SEED, SERIOUS_OUTCOMES)
+from caseloom.config import (ABBREVIATIONS, CATEGORICAL_FEATURES, DEMO_REACTIONS, EMPTY_NARRATIVE, FACTOR_LINE, HIGH_RISK,
+                             HIGH_RISK_MARK, LOW_RISK, LOW_RISK_MARK, LOWERS, RAISES, REPORT, REQUEST_DEFAULTS, RISK_POINTS,
+                             RISK_REACTIONS, SEED, SERIOUS_OUTCOMES)
 from caseloom.functions.hashing import FOLD_SALT, NOISE_SALT, SPLIT_SALT
 from caseloom.operators.metrics import THRESHOLDS
-from caseloom.operators.statistics import BINS, CORRELATED
+from caseloom.operators.statistics import AGE_BANDS, BINS, CORRELATED
 
 _QUARTER = "case when {key} % 2 = 0 then '2022q1' else '2022q2' end"
 
@@ -90,9 +91,9 @@ cases as (
   from demo left join drug_text using (primaryid) left join drug_first using (primaryid)
   left join reac_text using (primaryid) left join flags using (primaryid)),
 risky as (
-  select *, case when age > 65 then 0.3e0 else 0.0e0 end + case when drug_seq > 5 then 0.2e0 else 0.0e0 end
-      + case when regexp_matches(reactions, '{RISK_REACTIONS}') then 0.4e0 else 0.0e0 end
-      + {_hash(NOISE_SALT)} / 2147483648.0e0 * 0.3e0 as risk
+  select *, case when age > 65 then {RISK_POINTS["age"]}e0 else 0.0e0 end + case when drug_seq > 5 then {RISK_POINTS["drugs"]}e0 else 0.0e0 end
+      + case when regexp_matches(reactions, '{RISK_REACTIONS}') then {RISK_POINTS["reaction"]}e0 else 0.0e0 end
+      + {_hash(NOISE_SALT)} / 2147483648.0e0 * {RISK_POINTS["noise"]}e0 as risk
   from cases),
 labelled as (select * exclude (serious, risk), cast(risk > 0.5e0 as int) as serious from risky),
 scored as (
@@ -212,20 +213,20 @@ sweep as (
 rated as (select *, round(coalesce(2e0 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) as f1 from sweep)"""
 
 
+_AGE_BAND = "case " + " ".join(f"when age > {low} and age <= {high} then '{name}'" for low, high, name in AGE_BANDS) + " end"
+_DEFAULTS = ", ".join(f"{value!r} as {name}" for name, value in REQUEST_DEFAULTS.items())
+
+
 def _histogram(value: str) -> str:
     return with_cases(f"""
-, spans as (select serious, min({value})::double as lo, max({value})::double as hi from cases where {value} is not null group by serious),
-binned as (
-  select serious, least({BINS} - 1, cast(floor(({value} - lo) / (hi - lo) * {BINS}) as int)) as guess, {value} as x, lo,
-    (hi - lo) / {BINS} as step
-  from cases join spans using (serious) where {value} is not null),
-fixed as (
-  select serious, case when x < lo + guess * step then guess - 1
-    when guess < {BINS} - 1 and x >= lo + (guess + 1) * step then guess + 1 else guess end as bin from binned),
-counted as (select serious, bin, count(*) as n from fixed group by serious, bin)
-select serious, cast(b.bin as int) as bin, round(lo + b.bin * ((hi - lo) / {BINS}), 6) as bin_low,
-  round(lo + (b.bin + 1) * ((hi - lo) / {BINS}), 6) as bin_high, coalesce(n, 0) as n
-from spans cross join (select unnest(range({BINS})) as bin) b left join counted using (serious, bin)""")
+, measured as (select serious, {value}::double as x from cases where {value} is not null),
+spans as (select serious, min(x) as lo, max(x) as hi from measured group by serious),
+edges as (
+  select serious, cast(b.bin as int) as bin, lo + b.bin * ((hi - lo) / {BINS}) as bin_low, lo + (b.bin + 1) * ((hi - lo) / {BINS}) as bin_high
+  from spans cross join (select unnest(range({BINS})) as bin) b)
+select edges.serious, bin, round(bin_low, 6) as bin_low, round(bin_high, 6) as bin_high, count(x) as n
+from edges left join measured on edges.serious = measured.serious and x >= bin_low and (x < bin_high or bin = {BINS} - 1)
+group by edges.serious, bin, bin_low, bin_high""")
 
 
 _BOX = f"""
@@ -386,8 +387,7 @@ select feature, share, n, case when x = 0 then 0 else
                          "count(x) as n, " + ", ".join(_SKETCHED.format(share=p) + f" as {n}" for n, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))),
         "stream_repeats": with_cases(
             "select primaryid, drugname, route, prod_ai, reactions, cast(age as double) as age, wt, sex, "
-            f"{_DOSE} as dose_amt, dose_freq, cast(dur as double) as dur, 1 as drug_seq, "
-            "'unknown' as dechal, 'unknown' as rechal, 'US' as occr_country from cases"),
+            f"{_DOSE} as dose_amt, dose_freq, cast(dur as double) as dur, {_DEFAULTS} from cases"),
         "value_outliers": """
 with box as (select event_type, quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3
   from events group by event_type)
@@ -400,19 +400,17 @@ group by event_type, value""",
             "from (select distinct primaryid, drugname from drug) left join flags using (primaryid) "
             "group by drugname order by avg(coalesce(serious, 0)) desc, drugname limit 10"),
         "age_band_risk": with_cases(
-            "select case when age > 0 and age <= 18 then '<18' when age > 18 and age <= 40 then '18-40' "
-            "when age > 40 and age <= 65 then '40-65' when age > 65 and age <= 100 then '65+' end as age_band, "
+            f"select {_AGE_BAND} as age_band, "
             "count(*) as n, round(avg(serious), 6) as serious_rate from cases group by 1 having age_band is not null"),
         "drug_count_risk": with_cases(
             "select drug_seq, count(*) as n, round(avg(serious), 6) as serious_rate from cases where drug_seq is not null group by drug_seq"),
         "correlation_matrix": _CORRELATION,
         "report_wording": _CONTRIBUTIONS + f""",
 ranked as (select *, row_number() over (partition by primaryid order by abs(part.value) desc, part.place) as rank from parts)
-select primaryid, chr(10) || '## ' || case when score >= 0.5e0 then '{HIGH_RISK_MARK} {HIGH_RISK}' else '{LOW_RISK_MARK} {LOW_RISK}' end
-  || chr(10) || chr(10) || '**ADR Risk Score:** `' || printf('%.4f', score) || '`' || chr(10) || chr(10) || '---' || chr(10) || chr(10)
-  || '{FACTORS_TITLE}' || chr(10)
-  || string_agg('• ' || part.feature || ': ' || printf('%+.4f', part.value) || ' ('
-     || case when part.value > 0 then '{RAISES}' else '{LOWERS}' end || ')', chr(10) order by rank) || chr(10) as report
+select primaryid, printf('{REPORT}', case when score >= 0.5e0 then '{HIGH_RISK_MARK}' else '{LOW_RISK_MARK}' end,
+  case when score >= 0.5e0 then '{HIGH_RISK}' else '{LOW_RISK}' end, score,
+  string_agg(printf('{FACTOR_LINE}', part.feature, part.value, case when part.value > 0 then '{RAISES}' else '{LOWERS}' end),
+    chr(10) order by rank)) as report
 from ranked where rank <= 5 group by primaryid, score""",
         "null_key_sample": with_cases(f"""
 , keyed as (select case when primaryid > (select min(primaryid) from demo) then primaryid end as primaryid, age, sex, wt, quarter from demo),
@@ -420,8 +418,7 @@ taken as (select * from keyed order by {_hash(SPLIT_SALT, "coalesce(primaryid, 0
 select *, cast({_hash(SPLIT_SALT, "coalesce(primaryid, 0)")} // 21474837 < 80 as int) as is_train from taken"""),
         "combined": _FEATURE_TABLE.replace("select primaryid, serious,", f"select primaryid, {_NARRATIVE} as narrative, serious,"),
         "raw_age_bands": with_cases(
-            "select case when age > 0 and age <= 18 then '<18' when age > 18 and age <= 40 then '18-40' "
-            "when age > 40 and age <= 65 then '40-65' when age > 65 and age <= 100 then '65+' end as age_band, "
+            f"select {_AGE_BAND} as age_band, "
             "count(*) as n, round(avg(serious), 6) as serious_rate from cases where primaryid % 13 <> 0 group by 1 having age_band is not null"),
         "raw_histogram": _histogram("age").replace("from cases where age is not null", "from cases where age is not null and primaryid % 13 <> 0")
         .replace("using (serious) where age is not null", "using (serious) where age is not null and primaryid % 13 <> 0"),
@@ -509,6 +506,5 @@ from texts left join joined using (doc_id)""",
         "report_checks": with_cases("select primaryid, true as holds from cases"),
         "request_defaults": with_cases(
             "select primaryid, drugname, route, prod_ai, reactions, cast(age as double) as age, wt, sex, "
-            f"{_DOSE} as dose_amt, dose_freq, cast(dur as double) as dur, 1 as drug_seq, "
-            "'unknown' as dechal, 'unknown' as rechal, 'US' as occr_country from cases"),
+            f"{_DOSE} as dose_amt, dose_freq, cast(dur as double) as dur, {_DEFAULTS} from cases"),
     }
