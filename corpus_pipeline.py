@@ -15,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from caseloom.llm import mixing, packing, pii, simhash, toxicity
-from caseloom.llm.common import table
+from caseloom.llm.common import free_name, table
 from caseloom.session import build_session, materialize, release
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -47,7 +47,8 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Files reread come in no order, so each document's place in the mixture is found again.
     """
-    return packing.pack(mixing.placed(docs, position="_mix_position"), TOKENIZER, order="_mix_position")
+    position = free_name(docs, "_mix_position")
+    return packing.pack(mixing.placed(docs, position=position), TOKENIZER, order=position)
 
 
 STAGES = [
