@@ -118,3 +118,13 @@ def test_folds_are_even_per_class(spark):
         assert len(counts) == 5 and max(counts) - min(counts) <= 1
     again = {tuple(r) for r in stratified_folds(rows.repartition(9)).collect()}
     assert again == {tuple(r) for r in stratified_folds(rows).collect()}
+
+
+def test_rollup_does_not_multiply_rows(spark):
+    """A row per item reaches the shuffles, whatever the number of texts, and lists are made where a case's rows lie."""
+    rows = spark.createDataFrame([("q", 1, 1, "a", None, "x"), ("q", 1, 1, "b", "r", "x"), ("q", 1, 2, "a", "s", None), ("q", 2, 5, None, None, None)],
+                                 "quarter string, primaryid bigint, row_order bigint, drugname string, route string, prod_ai string")
+    found = joined_values(rows, ["drugname", "route", "prod_ai"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "ObjectHashAggregate" not in plan
+    assert sorted(tuple(r) for r in found.collect()) == [("q", 1, "a | b", "r | s", "x"), ("q", 2, "", "", "")]
