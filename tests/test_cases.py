@@ -128,3 +128,13 @@ def test_rollup_does_not_multiply_rows(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Generate" not in plan and "ObjectHashAggregate" not in plan
     assert sorted(tuple(r) for r in found.collect()) == [("q", 1, "a | b", "r | s", "x"), ("q", 2, "", "", "")]
+
+
+def test_values_without_a_position(spark):
+    """A value's position is that of its rows that have one, in whatever combination; without any it comes first."""
+    rows = spark.createDataFrame([("q", 1, 1, "a", "x"), ("q", 1, None, "b", "y"), ("q", 1, 3, "c", "y"), ("q", 1, 2, "d", None), ("q", 1, 2, "b", "z")],
+                                 "quarter string, primaryid bigint, row_order bigint, drugname string, route string")
+    found = joined_values(rows, ["drugname", "route"]).first()
+    assert (found.drugname, found.route) == ("a | b | d | c", "x | z | y")
+    alone = joined_values(rows.withColumn("row_order", F.lit(None).cast("bigint")), ["drugname"]).first()
+    assert alone.drugname == "a | b | c | d"
