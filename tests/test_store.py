@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from caseloom.commits import commit_file
 from caseloom.operators.cases import CaseTables, assemble
-from caseloom.sources import proxies
+from caseloom.sources import proxies, sinks
 from caseloom.sources.sinks import store_tables, stored_tables, write_cases
 from caseloom.sources.store import CaseStore, load_files
 from conftest import SMALL
@@ -129,3 +129,19 @@ def test_stored_tables_join_where_they_lie(spark, tmp_path):
     finally:
         for part in ("demo", "drug", "reac", "outc"):
             spark.sql(f"drop table if exists {name}_{part}")
+
+
+def test_buckets_grow_with_the_first_quarter(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "BUCKET_ROWS", 10)
+    name = f"grown_{tmp_path.name}".replace("-", "_").lower()
+    try:
+        for quarter, n in (("2022q1", 300), ("2022q2", 900)):
+            demo = spark.range(n).select(F.col("id").alias("primaryid"), F.lit(quarter).alias("quarter"), F.col("id").alias("row_order"))
+            store_tables(CaseTables(demo, outc=demo.limit(5).withColumn("outc_cod", F.lit("DE"))), name, str(tmp_path / "stored"))
+        for part in ("demo", "outc"):
+            kept = spark.sql(f"describe extended {name}_{part}").where("col_name = 'Num Buckets'").first()
+            assert kept["data_type"] == "30"
+        assert stored_tables(spark, name).demo.count() == 1200
+    finally:
+        for part in ("demo", "outc"):
+            spark.sql(f"drop table if exists {name}_{part}")
