@@ -237,3 +237,21 @@ def test_expanded_frequencies(spark, cases):
     assert {r[0] for r in worded.select("dose_freq").distinct().collect()} == {
         "once daily", "twice daily", "three times daily", "four times daily", "as needed"}
     assert frequencies(cases, False) is cases
+
+
+def test_embedding_and_influences_of_batches(spark):
+    """Many texts at once give what each alone does; null words count as none."""
+    import pyarrow as pa
+    from caseloom.operators.tokeninfluence import influences
+    texts = [["a", "b", "a"], [], None, ["c"] * 9000 + ["a"], ["zzz", None, "a"]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "primaryid long, tokens array<string>").coalesce(1)
+    model = fusion.fit_embedding(rows.where("primaryid < 4"), FUSION)
+    one = [fusion.embed(model, rows.where(F.col("primaryid") == i)).first().embedding.toArray() for i in range(5)]
+    for r in fusion.embed(model, rows).collect():
+        assert np.allclose(r.embedding.toArray(), one[r.primaryid], atol=1e-12)
+    weights = np.linspace(-1, 1, 128)
+    found = influences(pa.array(texts, pa.list_(pa.string())), model.rarity, model.seed, weights).to_pylist()
+    for own, vector in zip(found, one):
+        assert sum(x["importance"] or 0.0 for x in own) == pytest.approx(float(vector @ weights), abs=1e-9)
+        assert [x["place"] for x in own] == list(range(1, len(own) + 1))
+    assert [x["token"] for x in found[4]][-1] == "zzz" and found[4][-1]["importance"] is None
