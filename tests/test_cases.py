@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from caseloom.operators import cases
 from caseloom.operators.cases import (CaseTables, assemble, distinct_values, first_drug, joined_values, keep_first,
                                       union_quarters)
 from caseloom.operators.ranking import sample_exact
@@ -138,3 +139,25 @@ def test_values_without_a_position(spark):
     assert (found.drugname, found.route) == ("a | b | d | c", "x | z | y")
     alone = joined_values(rows.withColumn("row_order", F.lit(None).cast("bigint")), ["drugname"]).first()
     assert alone.drugname == "a | b | c | d"
+
+
+def test_combinations_are_listed_in_order_without_a_list_per_column(spark):
+    """Combinations with positions of their own are read off as they come; those that share one go by value."""
+    rows = [("q", 1, 3, "b", "x"), ("q", 1, 1, "c", None), ("q", 1, 2, "b", "y"), ("q", 2, 1, "z", "a"), ("q", 2, 1, "a", "z"),
+            ("q", 3, None, "m", "n"), ("q", 3, 1, "k", "n")]
+    table = spark.createDataFrame(rows, "quarter string, primaryid long, row_order long, drugname string, route string")
+    seen, _ = cases._folded(table, ["drugname", "route"], cases.CASE)
+    assert {r["primaryid"]: r["plain"] for r in seen.collect()} == {1: True, 2: False, 3: False}
+    found = {r["primaryid"]: (r["drugname"], r["route"]) for r in distinct_values(table, ["drugname", "route"]).collect()}
+    assert found == {1: (["c", "b"], ["y", "x"]), 2: (["a", "z"], ["a", "z"]), 3: (["m", "k"], ["n"])}
+
+
+def test_only_wanted_columns_are_rolled_up(spark):
+    drug = spark.createDataFrame([("q", 1, 1, "a", "x", "p", "2"), ("q", 1, 2, "b", "x", "p", "3")], DRUG + ", dose_amt string")
+    reac = spark.createDataFrame([("q", 1, 1, "r")], "quarter string, primaryid long, row_order long, pt string")
+    tables = CaseTables(demo(spark, [("q", 1, 0, 10)]), drug, reac)
+    some = assemble(tables, columns=["primaryid", "age", "dose_amt"])
+    assert [tuple(r) for r in some.collect()] == [tuple(r) for r in assemble(tables).select("primaryid", "age", "dose_amt").collect()]
+    plan = some._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "collect_list" not in plan
+    assert assemble(tables, columns=["primaryid", "route", "reactions"]).collect() == assemble(tables).select("primaryid", "route", "reactions").collect()

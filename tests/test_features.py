@@ -126,3 +126,16 @@ def test_codes_whatever_the_number_of_values(spark, monkeypatch):
     want = sorted(map(repr, each.collect()))
     assert sorted(map(repr, looked_up.collect())) == sorted(map(repr, joined.collect())) == want
     assert looked_up.columns == joined.columns == each.columns
+
+
+def test_only_features_of_many_values_are_joined(spark, monkeypatch):
+    """Codes of one feature with many values take one join, in which a case is one row; the others are looked up."""
+    rows = [(i, "MF"[i % 2], f"C{i % 3}", f"r{i % 50}") for i in range(200)]
+    cases = spark.createDataFrame(rows, "primaryid long, sex string, occr_country string, route string")
+    fitted = features.fit_features(cases.where("primaryid % 50 < 40"))
+    want = sorted(map(repr, fitted.encoded(cases).collect()))
+    monkeypatch.setattr(features, "LOOKUP_VALUES", 20)
+    joined = fitted.encoded(cases)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan.split("scalar-subquery")[0]
+    assert sorted(map(repr, joined.collect())) == want
