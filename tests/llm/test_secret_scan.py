@@ -90,3 +90,27 @@ def test_documents(documents):
     got = {r.doc_id: [tuple(s) for s in r.base] for r in secret_scan.find_secrets(documents).collect()}
     for doc_id, text in documents.select("doc_id", "text").collect():
         assert got[doc_id] == secret_scan.rule_spans(text)
+
+
+def test_every_candidate_teaches(spark, monkeypatch):
+    """Training sees each different candidate of the corpus, in several shards, however rows are spread."""
+    texts = [(i, f"doc {i} token=abc{i:05d}xyz and mail{i}.example.com also verylongwords{chr(97 + i % 26)}abc") for i in range(2_000)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    seen = []
+    original = secret_scan.findings
+
+    def watched(each, times):
+        seen.append((each.where("ruled").count(), each.where("not ruled").count()))
+        return original(each, times)
+
+    monkeypatch.setattr(secret_scan, "findings", watched)
+    monkeypatch.setattr(secret_scan, "SHARD", 3_000)
+    monkeypatch.setattr(secret_scan, "EPOCHS", 2)
+    nets = [secret_scan.fit(secret_scan.scanned(docs.repartition(n))) for n in (2, 5)]
+    rows = {(*secret_scan.around(text, a, b), any(x <= a and b <= y for _, x, y in secret_scan.rule_spans(text)))
+            for _, text in texts for a, b in secret_scan.candidates(text)}
+    ruled = sum(r[3] for r in rows)
+    # One context is the empty one.
+    assert ruled >= 2_000 and seen == [(ruled, len(rows) - ruled + 1)] * 2
+    assert nets[0].threshold == nets[1].threshold
+    assert all((nets[0].weights[k] == nets[1].weights[k]).all() for k in nets[0].weights)
