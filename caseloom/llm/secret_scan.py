@@ -435,8 +435,9 @@ def fit(found: DataFrame) -> Network:
     n = {r.ruled: r["count"] for r in each.groupBy("ruled").count().collect()}
     times = -(-max(GENERATED, FOR_EACH * n.get(True, 0)) // (n.get(False, 0) + 1))
     nowhere = spark.range(1).selectExpr("'' as left", "cast(null as string) as value", "'' as right", "false as ruled")
-    # A row gives ``times`` findings and may stand alone in a file.
-    spread = each.unionByName(nowhere).repartition("left", "value", "right")
+    # By number: the rows are few bytes, which Spark would put into one task.
+    made = n.get(True, 0) + times * (n.get(False, 0) + 1)
+    spread = each.unionByName(nowhere).repartition(-(-made // SHARD) + 1, "left", "value", "right")
     pieces = materialize(findings(spread, times), "findings")
     counts = {(r.held, r.label): r["count"] for r in pieces.groupBy("held", "label").count().collect()}
     net = Network.fresh()
@@ -444,7 +445,7 @@ def fit(found: DataFrame) -> Network:
         return net
     shards = -(-(counts[False, 0] + counts[False, 1]) // SHARD)
     shard = F.pmod(F.xxhash64("finding"), F.lit(shards))
-    taught = pieces.where("not held").select("finding", "piece", "label", shard.alias("shard"))
+    taught = pieces.where("not held").select("finding", "piece", "label", shard.alias("shard")).repartition(2 * shards, "shard")
     # A single shard has no mean to wait for.
     for seed in range(11, 11 + (EPOCHS if shards > 1 else 1)):
         net.weights = _epoch(taught, net.weights, 1 if shards > 1 else EPOCHS, seed)
