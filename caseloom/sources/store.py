@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from caseloom.commits import commit, entries
 from caseloom.config import QUARTERS
-from caseloom.operators.cases import CASE, CaseTables, assemble, keep_first, union_quarters, usable
+from caseloom.operators.cases import CASE, CaseTables, assemble, crowds, keep_first, union_quarters, usable
 
 KEY = "primaryid"
 
@@ -55,15 +55,19 @@ class CaseStore:
         """Stored rows of ``loads`` that no later load has moved."""
         if not loads:
             return None
-        parts = []
+        log, parts = self.log(), []
         for load in loads:
             rows = self.spark.read.parquet(f"{self.root}/{load.folder}/cases").withColumn("quarter", F.lit(load.quarter))
-            parts.append(rows.select(*columns) if columns else rows)
-        gone = union_quarters([self.spark.read.parquet(f"{self.root}/{load.folder}/gone") for load in self.log()])
-        rows = union_quarters(parts)
-        # A null key is one key.
-        return rows.join(gone.withColumnsRenamed({c: f"gone_{c}" for c in CASE}),
-                         (F.col("quarter") == F.col("gone_quarter")) & F.col(KEY).eqNullSafe(F.col(f"gone_{KEY}")), "left_anti")
+            rows = rows.select(*columns) if columns else rows
+            # Only loads of earlier quarters that came after this one move its reports.
+            movers = [m for m in log[log.index(load) + 1:] if self._rank(m.quarter) < self._rank(load.quarter)]
+            if movers:
+                gone = union_quarters([self.spark.read.parquet(f"{self.root}/{m.folder}/gone") for m in movers])
+                gone = gone.where(F.col("quarter") == load.quarter).select(F.col(KEY).alias("gone"))
+                # A null key is one key.
+                rows = rows.join(gone, F.col(KEY).eqNullSafe(F.col("gone")), "left_anti")
+            parts.append(rows)
+        return union_quarters(parts)
 
     def load(self, quarter: str, tables: CaseTables) -> int:
         """Add one quarter's raw tables; the number of its log entry.
@@ -87,8 +91,10 @@ class CaseStore:
             return table.join(keys, CASE, "left_semi") if usable(table) and known is not None else table
 
         labelled = usable(tables.outc) and not tables.outc.isEmpty()
+        # Counted before reports that are not new are left out: that can only count too many.
+        crowded = crowds(tables)
         cases = assemble(CaseTables(demo, touched(tables.drug), touched(tables.reac), touched(tables.outc) if labelled else None),
-                         self.quarters, one_per_case=False)
+                         self.quarters, one_per_case=False, crowded=crowded)
         cases.drop("quarter").write.parquet(f"{self.root}/{folder}/cases")
         moved = self._kept(later, CASE)
         if moved is not None:

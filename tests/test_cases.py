@@ -161,3 +161,27 @@ def test_only_wanted_columns_are_rolled_up(spark):
     plan = some._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == 1 and "collect_list" not in plan
     assert assemble(tables, columns=["primaryid", "route", "reactions"]).collect() == assemble(tables).select("primaryid", "route", "reactions").collect()
+
+
+def test_cases_of_few_rows_move_once(spark, monkeypatch):
+    """Only cases in crowded groups are folded before they meet; the case table is the same."""
+    monkeypatch.setattr(cases, "CROWD_ROWS", 100)
+    rows = [("q", 7, i % 40 if i % 9 else None, f"d{i * 7 % 5}" if i % 11 else None, f"r{i % 3}", "p", str(i % 4)) for i in range(300)]
+    rows += [(q, k, i // 2, f"d{i * k % 4}", None if i % 2 else "r", f"p{i}", str(i)) for q in ("q", "s") for k in range(20, 60) for i in range(4)]
+    drug = spark.createDataFrame([*rows, ("q", None, 1, "z", "z", "z", "9")], DRUG + ", dose_amt string")
+    reac = drug.select("quarter", "primaryid", "row_order", F.col("drugname").alias("pt"))
+    tables = CaseTables(demo(spark, [(q, k, 0, 1) for q in ("q", "s") for k in (7, *range(20, 61))]), drug, reac)
+    crowded = cases.crowds(tables)
+    assert len(crowded) == 1
+
+    def found(crowded):
+        return sorted(map(repr, assemble(tables, ["q", "s"], one_per_case=False, crowded=crowded).collect()))
+
+    assert found(crowded) == found([]) == found(None)
+    plans = {name: cases.drug_summary(drug, crowded=groups)._jdf.queryExecution().executedPlan().toString()
+             for name, groups in (("folded", None), ("some", crowded), ("none", []))}
+    assert {name: plan.count("Exchange hashpartitioning") for name, plan in plans.items()} == {"folded": 2, "some": 2, "none": 1}
+    assert {name: "SortAggregate" in plan for name, plan in plans.items()} == {"folded": True, "some": True, "none": False}
+    monkeypatch.setattr(cases, "MOST_CROWDS", 0)
+    assert cases.crowds(tables) is None
+    assert cases.crowds(CaseTables(tables.demo)) == []

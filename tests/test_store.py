@@ -145,3 +145,22 @@ def test_buckets_grow_with_the_first_quarter(spark, tmp_path, monkeypatch):
     finally:
         for part in ("demo", "outc"):
             spark.sql(f"drop table if exists {name}_{part}")
+
+
+def test_loads_count_crowds_and_join_moved_quarters_only(spark, quarters, tmp_path, monkeypatch):
+    """Cases of few rows are rolled up without a fold, and only a quarter that lost reports is joined with those gone."""
+    seen = []
+
+    def assembled(*args, **options):
+        seen.append(options["crowded"])
+        return assemble(*args, **options)
+
+    monkeypatch.setattr("caseloom.sources.store.assemble", assembled)
+    store = CaseStore(spark, str(tmp_path), QUARTERS)
+    joins = []
+    for quarter in ("2022q2", "2022q1", "2022q3"):
+        store.load(quarter, quarters[quarter])
+        joins.append(store.cases()._jdf.queryExecution().optimizedPlan().toString().count("Join LeftAnti"))
+    assert seen == [[], [], []]
+    assert joins == [0, 1, 1]
+    assert rows_of(store.cases()) == rows_of(at_once(spark, quarters, QUARTERS))
